@@ -108,8 +108,8 @@ def export_csv(spark, sf):
     path = work_dir(spark, "export")
     snapshot.export_csv(I.state(spark, sf), path)
     schema = ", ".join(f"{c} string" for c in V.CSV_FIELDS)
-    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True, nullValue="\x01", emptyValue="",
-                                         lineSep="\r\n").select(*V.LISTING_FIELDS)
+    back = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in V.LISTING_FIELDS])
 
 
 # -- pages -------------------------------------------------------------------------

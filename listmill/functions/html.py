@@ -14,7 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listmill import vocab as V
-from listmill.functions.text import clean_ws, first_nonempty, let, nonempty, strip_ws
+from listmill.functions.text import (
+    clean_ws, clean_ws_sql, first_nonempty, let, literal, over, sql_let, strip_ws, strip_ws_sql,
+)
 from listmill.functions.urls import urljoin
 
 # One tag; quoted attribute values may hold '>'.  Possessive, so that no tag can
@@ -38,34 +40,37 @@ def hide(html: Column) -> Column:
     return _without(F.coalesce(html, F.lit("")), ["script", "style", "template"], comments=True)
 
 
-def _decode(entity: Column) -> Column:
-    names = F.str_to_map(F.lit(",".join(f"{n}={c}" for n, c in _ENTITY_CODES.items())), F.lit(","), F.lit("="))
-    body = F.regexp_extract(entity, "^&#?([^;]+)", 1)
-    code = (
-        F.when(entity.rlike("^&#[xX]"), F.conv(F.substring(body, 2, 8), 16, 10))
-        .when(entity.startswith("&#"), F.substring(body, 1, 10))
-        .otherwise(F.try_element_at(names, body))
-    )
+def _decode(entity: str) -> str:
+    codes = literal(",".join(f"{n}={c}" for n, c in _ENTITY_CODES.items()))
+    body = f"regexp_extract({entity}, '^&#?([^;]+)', 1)"
+    code = (f"CASE WHEN {entity} RLIKE '^&#[xX]' THEN conv(substring({body}, 2, 8), 16, 10) "
+            f"WHEN startswith({entity}, '&#') THEN substring({body}, 1, 10) "
+            f"ELSE try_element_at(str_to_map({codes}, ',', '='), {body}) END")
+    return sql_let(f"try_cast({code} AS bigint)", "n", (
+        f"CASE WHEN n IS NULL THEN {entity} WHEN n BETWEEN 1 AND 1114111 "
+        "THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') ELSE '\\ufffd' END"))
+
 
-    def char(n: Column) -> Column:
-        shown = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        return F.when(n.isNull(), entity).when(n.between(1, 0x10FFFF), shown).otherwise("\ufffd")
+def _unescape(c: str) -> str:
+    found = literal(_ENTITY)
+    return (f"CASE WHEN contains({c}, '&') THEN array_join(zip_with(split({c}, {found}, -1), "
+            f"transform(regexp_extract_all({c}, {found}, 0), e -> {_decode('e')}), "
+            f"(p, d) -> concat(p, coalesce(d, ''))), '') ELSE {c} END")
 
-    return let(code.try_cast("bigint"), char)
+
+def _visible_text(v: str) -> str:
+    node = f"CASE WHEN t <> '' THEN {strip_ws_sql(_unescape('t'))} END"
+    return f"array_join(filter(transform(split({v}, {literal(TAG)}, -1), t -> {node}), t -> t <> ''), ' ')"
 
 
 def unescape(c: Column) -> Column:
     """Replace character references; unknown names stay as they are."""
-    pieces = F.split(c, _ENTITY, -1)
-    entities = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _decode)
-    joined = F.array_join(F.zip_with(pieces, entities, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
-    return F.when(c.contains("&"), joined).otherwise(c)
+    return over(c, "u", _unescape("u"))
 
 
 def visible_text(visible: Column) -> Column:
     """All text nodes, each trimmed, blank ones dropped, joined by one blank."""
-    nodes = F.transform(F.split(visible, TAG, -1), lambda t: F.when(t != "", strip_ws(unescape(t))))
-    return F.array_join(F.filter(nodes, lambda t: t != ""), " ")
+    return over(visible, "v", _visible_text("v"))
 
 
 def html_to_text(html: Column) -> Column:
@@ -78,10 +83,15 @@ def count_tags(visible: Column, name: str) -> Column:
     return F.regexp_count(visible, F.lit(rf"(?i)<{name}(?=[\s/>])"))
 
 
+def _attribute(tag: str, name: str) -> str:
+    pattern = literal(rf"""(?i)\s{re.escape(name)}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    parts = ", ".join(f"regexp_extract({tag}, {pattern}, {i})" for i in (1, 2, 3))
+    return sql_let(f"concat({parts})", "a", _unescape("a"))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of an opening tag, or "" where it is missing."""
-    pattern = rf"""(?i)\s{re.escape(name)}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return let(tag, lambda t: let(F.concat(*[F.regexp_extract(t, pattern, i) for i in (1, 2, 3)]), unescape))
+    return over(tag, "g", _attribute("g", name))
 
 
 # -- selectors ----------------------------------------------------------------
@@ -112,22 +122,29 @@ def open_tag(selector: str) -> tuple[str, str]:
     return rf"<{name}(?:\s[^>]*?)?\s(?i:{attr}){test}[^>]*>", re.escape(value) if value else f"(?i:{attr})"
 
 
-def _inner(rest: Column, name: Column) -> Column:
+def _inner(rest: str, name: str) -> str:
     """Markup up to the close tag that ends element ``name``; ``rest`` starts after its open tag."""
-    edge = F.concat(F.lit("(?i)<(/?)"), F.regexp_replace(name, r"([^\w-])", r"\\$1"), F.lit(r"(?=[\s/>])[^>]*>"))
-    marks = F.regexp_extract_all(rest, edge, F.lit(1))
+    escaped = f"regexp_replace({name}, {literal(r'([^a-zA-Z0-9_-])')}, {literal(chr(92) * 2 + '$1')})"
+    edge = f"concat('(?i)<(/?)', {escaped}, {literal(r'(?=[\s/>])[^>]*>')})"
+    # The element spans the pieces before the mark at which the depth falls to zero.
+    step = ("(acc, mark) -> CASE WHEN acc.depth = 0 THEN acc ELSE named_struct("
+            "'depth', acc.depth + IF(mark = '/', -1, 1), 'seen', acc.seen + 1) END")
+    span = (f"aggregate(regexp_extract_all({rest}, edge, 1), named_struct('depth', 1, 'seen', 0), {step}, "
+            "acc -> IF(acc.depth = 0, acc.seen, NULL))")
+    body = f"IF(n IS NULL, {rest}, array_join(slice(split({rest}, edge, -1), 1, n), '<br>'))"
+    return sql_let(edge, "edge", sql_let(span, "n", body))
 
-    def step(acc: Column, mark: Column) -> Column:
-        depth = acc["depth"] + F.when(mark == "/", -1).otherwise(1)
-        open_ = acc["depth"] > 0
-        return F.struct(F.when(open_, depth).otherwise(0).alias("depth"),
-                        (acc["seen"] + F.when(open_, 1).otherwise(0)).alias("seen"))
 
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"))
-    # The element spans the pieces before the mark at which the depth falls to zero.
-    spans = F.aggregate(marks, start, step, lambda a: F.when(a["depth"] == 0, a["seen"]))
-    pieces = F.split(rest, edge, -1)
-    return let(spans, lambda n: F.when(n.isNull(), rest).otherwise(F.array_join(F.slice(pieces, 1, n), "<br>")))
+def _element_html(v: str, selector: str) -> str:
+    tests = [open_tag(one.strip()) for one in selector.split(",")]
+    pattern = literal("|".join(p for p, _ in tests))
+    guard = literal("|".join(g for _, g in tests))
+    void = ", ".join(literal(t) for t in _VOID)
+    rest = f"substring({v}, instr({v}, tag) + length(tag))"
+    name = f"regexp_extract(tag, {literal(f'^<({_NAME})')}, 1)"
+    cut = (f"CASE WHEN tag = '' THEN NULL WHEN lower({name}) IN ({void}) THEN '' "
+           f"ELSE {sql_let(rest, 'rest', sql_let(name, 'name', _inner('rest', 'name')))} END")
+    return f"CASE WHEN {v} RLIKE {guard} THEN {sql_let(f'regexp_extract({v}, {pattern}, 0)', 'tag', cut)} END"
 
 
 def element_html(visible: Column, selector: str) -> Column:
@@ -135,21 +152,17 @@ def element_html(visible: Column, selector: str) -> Column:
 
     A comma separates alternatives; the first match in document order counts.
     """
-    tests = [open_tag(one.strip()) for one in selector.split(",")]
-    pattern = "|".join(p for p, _ in tests)
-    guard = visible.rlike("|".join(g for _, g in tests))
-
-    def cut(tag: Column) -> Column:
-        name = F.regexp_extract(tag, f"^<({_NAME})", 1)
-        rest = F.substring(visible, F.instr(visible, tag) + F.length(tag), F.length(visible))
-        return F.when(tag == "", None).when(F.lower(name).isin(_VOID), "").otherwise(_inner(rest, name))
-
-    return F.when(guard, let(F.regexp_extract(visible, pattern, 0), cut))
+    return over(visible, "v", _element_html("v", selector))
 
 
 def select_text(visible: Column, selectors: list[str]) -> Column:
-    """Clean text of the first selector whose first element has any; "" where none has."""
-    return first_nonempty(*[clean_ws(visible_text(element_html(visible, s))) for s in selectors])
+    """Clean text of the first selector whose first element has any; "" where none has.
+
+    Later selectors are only tried where the earlier ones found nothing.
+    """
+    tries = [sql_let(_element_html("v", s), "inside", clean_ws_sql(_visible_text("inside"))) for s in selectors]
+    found = [sql_let(t, "found", "nullif(found, '')") for t in tries]
+    return over(visible, "v", f"coalesce({', '.join(found)}, '')")
 
 
 def meta_value(visible: Column, keys: list[str]) -> Column:
@@ -159,36 +172,37 @@ def meta_value(visible: Column, keys: list[str]) -> Column:
     the next key; content of blanks only ends the search.
     """
 
-    def content(key: str) -> Column:
-        def tag(attr: str) -> Column:
+    def content(key: str) -> str:
+        def tag(attr: str) -> str:
             found = rf"""<(?i:meta)(?:\s[^>]*?)?\s(?i:{attr})\s*=\s*{_value_test("=", key)}[^>]*>"""
-            return nonempty(F.regexp_extract(visible, found, 0))
+            return f"regexp_extract(v, {literal(found)}, 0)"
+
+        first = sql_let(tag("property"), "x", f"IF(x = '', {tag('name')}, x)")
+        value = sql_let(sql_let(first, "g", _attribute("g", "content")), "c", f"IF(c = '', NULL, {clean_ws_sql('c')})")
+        return f"CASE WHEN contains(v, {literal(key)}) THEN {value} END"
 
-        value = attribute(F.coalesce(tag("property"), tag("name")), "content")
-        return F.when(visible.contains(key), let(value, lambda v: F.when(v != "", clean_ws(v))))
+    return over(visible, "v", f"coalesce({', '.join(content(k) for k in keys)}, '')")
 
-    return F.coalesce(*[content(k) for k in keys], F.lit(""))
+
+_ANCHOR = r"(?i)<a(?=[\s/>])[^>]*>"
 
 
 def anchors(visible: Column) -> Column:
     """Links in document order as structs of href, rel and text; anchors without href are left out."""
-    tags = F.regexp_extract_all(visible, F.lit(r"(?i)<a(?=[\s/>])[^>]*>"), F.lit(0))
-    bodies = F.slice(F.split(visible, r"(?i)<a(?=[\s/>])[^>]*>", -1), 2, F.size(tags))
-    has_href = r"(?i)\shref\s*="
-    return F.filter(
-        F.zip_with(tags, bodies, lambda tag, body: F.when(tag.rlike(has_href), F.struct(
-            attribute(tag, "href").alias("href"),
-            attribute(tag, "rel").alias("rel"),
-            clean_ws(visible_text(F.regexp_extract(body, r"(?is)^(.*?)(?:</a\s*>|\z)", 1))).alias("text"),
-        ))),
-        lambda a: a.isNotNull(),
-    )
+    body = r"(?is)^(.*?)(?:</a\s*>|\z)"
+    text = sql_let(f"regexp_extract(rest, {literal(body)}, 1)", "inside", clean_ws_sql(_visible_text("inside")))
+    link = (f"named_struct('href', {_attribute('g', 'href')}, 'rel', {_attribute('g', 'rel')}, 'text', {text})")
+    has_href = literal(r"(?i)\shref\s*=")
+    pairs = (f"zip_with(tags, slice(split(v, {literal(_ANCHOR)}, -1), 2, greatest(size(tags), 1)), "
+             f"(g, rest) -> IF(g RLIKE {has_href}, {link}, NULL))")
+    tags = f"regexp_extract_all(v, {literal(_ANCHOR)}, 0)"
+    return over(visible, "v", sql_let(tags, "tags", f"filter({pairs}, x -> x IS NOT NULL)"))
 
 
 def hrefs(visible: Column) -> Column:
     """Only the trimmed href values, in document order."""
-    tags = F.regexp_extract_all(visible, F.lit(r"(?i)<a(?=\s)[^>]*\shref\s*=[^>]*>|<a\s+href\s*=[^>]*>"), F.lit(0))
-    return F.transform(tags, lambda t: strip_ws(attribute(t, "href")))
+    tags = f"filter(regexp_extract_all(v, {literal(_ANCHOR)}, 0), g -> g RLIKE {literal(r'(?i)\shref\s*=')})"
+    return over(visible, "v", f"transform({tags}, g -> {strip_ws_sql(_attribute('g', 'href'))})")
 
 
 # -- fields of a page ---------------------------------------------------------
@@ -237,12 +251,13 @@ def time_tag(visible: Column) -> Column:
 
 def needs_render(html: Column, visible: Column) -> Column:
     """True where a page looks empty until a browser runs its scripts."""
-    root_text = element_html(visible, V.APP_ROOT_SELECTOR)
+    root = element_html(visible, V.APP_ROOT_SELECTOR)
+    empty_root = let(root, lambda r: r.isNotNull() & (F.length(clean_ws(visible_text(r))) < V.MIN_ROOT_TEXT))
     few_links = (F.size(hrefs(visible)) < V.MIN_ANCHORS) & (count_tags(html, "script") > V.MAX_SCRIPTS)
     return (
         (F.length(clean_ws(visible_text(visible))) < V.MIN_PAGE_TEXT)
         | few_links
-        | F.coalesce(F.length(clean_ws(visible_text(root_text))) < V.MIN_ROOT_TEXT, F.lit(False))
+        | empty_root
     )
 
 

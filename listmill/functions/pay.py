@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listmill import vocab as V
-from listmill.functions.text import WS, clean_ws, first_nonempty, let, nonempty, unicode_regex
+from listmill.functions.text import (
+    WS, clean_ws, clean_ws_sql, first_nonempty, let, literal, nonempty, over, sql_let, unicode_regex,
+)
 
 
 def pay_text(*cols: Column) -> Column:
@@ -15,66 +17,82 @@ def pay_text(*cols: Column) -> Column:
     return F.regexp_replace(F.translate(joined, "–—／", "--/"), WS + "+", " ")
 
 
-def _has(c: Column, pattern: str) -> Column:
-    return c.rlike("(?iu)" + unicode_regex(pattern))
+def _rx(pattern: str) -> str:
+    return literal("(?iu)" + unicode_regex(pattern))
 
 
-def _guard(text: Column, number: int) -> Column:
+def _guard(t: str, number: int) -> str:
     """A cheap test without which pay pattern ``number`` cannot match."""
     if number in (1, 4, 6):
-        return text.contains("$")
+        return f"contains({t}, '$')"
     if number in (2, 3, 7):
-        return text.rlike(r"(?i)US(?:D|\$)")
-    return text.rlike(r"(?iu)\d\s*(?:/\s*h|per\s*hour)")
+        return f"{t} RLIKE {literal(r'(?i)US(?:D|[$])')}"
+    return rf"{t} RLIKE {literal(r'(?iu)[0-9]\s*(?:/\s*h|per\s*hour)')}"
 
 
-def _hits(text: Column, number: int, base: int, pattern: str) -> Column:
-    """All matches of one pattern as structs of base score, rule, position, text and context."""
-    regex = "(?iu)" + unicode_regex(pattern)
-    pieces = F.split(text, regex, -1)
-    whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(regex), F.lit(1))
-    # pieces has one entry more than the matches; the last pair carries a null match.
-    steps = F.zip_with(
-        pieces,
-        F.zip_with(whole, group, lambda w, g: F.struct(w.alias("whole"), g.alias("raw"))),
-        lambda piece, m: F.struct(F.length(piece).alias("gap"), m["whole"].alias("whole"), m["raw"].alias("raw")),
-    )
-    pad = V.PAY_CONTEXT_CHARS
-
-    def take(acc: Column, step: Column) -> Column:
-        start = acc["pos"] + step["gap"]                       # characters before this match
-        length = F.coalesce(F.length(step["whole"]), F.lit(0))
-        left = F.greatest(start - pad, F.lit(0))
-        hit = F.struct(
-            F.lit(base).alias("base"),
-            F.lit(number).alias("rule"),
-            start.alias("pos"),
-            clean_ws(step["raw"]).alias("raw"),
-            F.lower(F.substring(text, left + 1, start + length + pad - left)).alias("ctx"),
-        )
-        found = F.when(step["whole"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(hit)))
-        return F.struct((start + length).alias("pos"), found.alias("found"))
-
-    empty = F.array().cast("array<struct<base:int,rule:int,pos:int,raw:string,ctx:string>>")
-    walked = F.aggregate(
-        steps, F.struct(F.lit(0).alias("pos"), empty.alias("found")), take, lambda acc: acc["found"])
-    return F.when(_guard(text, number), walked).otherwise(empty)
-
+_HIT = "struct<base:int,rule:int,pos:int,raw:string,ctx:string>"
 
-def _score(hit: Column) -> Column:
-    def points(cond: Column, n: int) -> Column:
-        return F.when(cond, F.lit(n)).otherwise(F.lit(0))
 
-    raw, ctx = hit["raw"], hit["ctx"]
-    return (
-        hit["base"]
-        + points(_has(raw, V.HOURLY_PATTERN), V.SCORE_HOURLY)
-        + points(_has(ctx, V.PAY_WORD_PATTERN), V.SCORE_PAY_WORD)
-        + points(_has(F.concat(raw, F.lit(" "), ctx), V.ANNUAL_CONTEXT_PATTERN), V.SCORE_ANNUAL)
-        + points(_has(ctx, V.NOT_PAY_PATTERN), V.SCORE_NOT_PAY)
-        + points(_has(raw, V.YEAR_LIKE_PATTERN), V.SCORE_YEAR_LIKE)
-    )
+def _hits(t: str, number: int, base: int, pattern: str) -> str:
+    """All matches of one pattern as structs of base score, rule, position, text and context."""
+    regex, pad = _rx(pattern), V.PAY_CONTEXT_CHARS
+    # The text between the matches has one piece more than there are matches;
+    # the last pair has a null match.
+    matches = (f"zip_with(regexp_extract_all({t}, {regex}, 0), regexp_extract_all({t}, {regex}, 1), "
+               "(w0, r0) -> named_struct('whole', w0, 'raw', r0))")
+    steps = (f"zip_with(split({t}, {regex}, -1), {matches}, "
+             "(gap, m) -> named_struct('gap', length(gap), 'whole', m.whole, 'raw', m.raw))")
+    start = "(acc.pos + s.gap)"
+    size = "coalesce(length(s.whole), 0)"
+    left = f"greatest({start} - {pad}, 0)"
+    ctx = f"lower(substring({t}, {left} + 1, {start} + {size} + {pad} - {left}))"
+    hit = (f"named_struct('base', {base}, 'rule', {number}, 'pos', {start}, 'raw', {clean_ws_sql('s.raw')}, "
+           f"'ctx', {ctx})")
+    step = (f"(acc, s) -> named_struct('pos', {start} + {size}, 'found', "
+            f"IF(s.whole IS NULL, acc.found, concat(acc.found, array({hit}))))")
+    none = f"cast(array() AS array<{_HIT}>)"
+    walked = f"aggregate({steps}, named_struct('pos', 0, 'found', {none}), {step}, acc -> acc.found)"
+    return f"CASE WHEN {_guard(t, number)} THEN {walked} ELSE {none} END"
+
+
+def _score(hit: str) -> str:
+    raw, ctx = f"{hit}.raw", f"{hit}.ctx"
+    rules = [
+        (raw, V.HOURLY_PATTERN, V.SCORE_HOURLY),
+        (ctx, V.PAY_WORD_PATTERN, V.SCORE_PAY_WORD),
+        (f"concat({raw}, ' ', {ctx})", V.ANNUAL_CONTEXT_PATTERN, V.SCORE_ANNUAL),
+        (ctx, V.NOT_PAY_PATTERN, V.SCORE_NOT_PAY),
+        (raw, V.YEAR_LIKE_PATTERN, V.SCORE_YEAR_LIKE),
+    ]
+    return " + ".join([f"{hit}.base", *[f"IF({c} RLIKE {_rx(p)}, {n}, 0)" for c, p, n in rules]])
+
+
+def _amount(v: str) -> str:
+    cents = f"regexp_replace(regexp_replace(format_number({v}, 2), '0+$', ''), '[.]$', '')"
+    return (f"concat('$', CASE WHEN {v} >= 1000 THEN format_number({v}, 0) "
+            f"WHEN abs({v} - floor({v})) < 1e-6 THEN cast(floor({v}) AS string) ELSE {cents} END)")
+
+
+def _pay_format(c: str) -> str:
+    tidy = f"replace({clean_ws_sql(c)}, 'US$', 'USD')"
+    for pattern, put in ((r"\s*-\s*", "-"), (r"(?i)\s+to\s+", "-"), (r"[$]\s+", r"\$")):
+        tidy = f"regexp_replace({tidy}, {literal(pattern)}, {literal(put)})"
+    numbers = f"slice(regexp_extract_all(t, {literal(V.NUMBER_PATTERN)}, 0), 1, 2)"
+    parsed = (f"named_struct('v', transform({numbers}, n -> cast(replace(n, ',', '') AS double)), "
+              f"'hour', t RLIKE {_rx(V.HOURLY_PATTERN)}, 'year', t RLIKE {_rx(V.YEARLY_PATTERN)})")
+    low, high = V.UNITLESS_HOURLY_RANGE
+    unit = (f"CASE WHEN p.hour AND exists(p.v, x -> x > {V.HOURLY_CEILING}) THEN '/yr' WHEN p.hour THEN '/hr' "
+            f"WHEN NOT p.year AND forall(p.v, x -> x BETWEEN {low} AND {high}) THEN '/hr' "
+            f"WHEN p.year OR exists(p.v, x -> x >= {V.YEARLY_FLOOR}) THEN '/yr' ELSE '' END")
+    both = "sort_array(p.v)"
+    span = (f"IF(array_size(array_distinct(p.v)) = 2, concat({_amount(f'{both}[0]')}, '-', {_amount(f'{both}[1]')}), "
+            f"{_amount('p.v[0]')})")
+    shown = f"IF(size(p.v) = 0, '', concat({span}, {unit}))"
+    digits = literal("[0-9]")
+    return sql_let(tidy, "t", f"IF(t RLIKE {digits}, {sql_let(parsed, 'p', shown)}, '')")
+
+
+_CANDIDATE = "struct<score:int,shortness:int,rule_rank:int,pos_rank:int,text:string>"
 
 
 def pay_candidates(*cols: Column) -> Column:
@@ -82,71 +100,26 @@ def pay_candidates(*cols: Column) -> Column:
 
     Best: highest score, then shortest text, then rule order, then position.
     """
-
-    def scored(hit: Column) -> Column:
-        return let(pay_format(hit["raw"]), lambda shown: F.struct(
-            _score(hit).alias("score"),
-            (-F.length(shown)).alias("shortness"),
-            (-hit["rule"]).alias("rule_rank"),
-            (-hit["pos"]).alias("pos_rank"),
-            shown.alias("text"),
-        ))
-
-    def mine(text: Column) -> Column:
-        hits = F.concat(*[_hits(text, i, base, p) for i, (base, p) in enumerate(V.PAY_PATTERNS, 1)])
-        return F.filter(F.transform(F.filter(hits, lambda h: h["raw"] != ""), scored), lambda c: c["text"] != "")
-
-    none = F.array().cast("array<struct<score:int,shortness:int,rule_rank:int,pos_rank:int,text:string>>")
+    hits = ", ".join(_hits("w", i, base, p) for i, (base, p) in enumerate(V.PAY_PATTERNS, 1))
+    scored = sql_let(_pay_format("h.raw"), "shown", (
+        f"named_struct('score', {_score('h')}, 'shortness', -length(shown), 'rule_rank', -h.rule, "
+        "'pos_rank', -h.pos, 'text', shown)"))
+    mined = f"filter(transform(filter(concat({hits}), h -> h.raw <> ''), h -> {scored}), c -> c.text <> '')"
     # Every pattern needs a dollar sign or a unit next to digits; most text has neither.
-    return let(pay_text(*cols), lambda t: F.when(t.rlike(r"(?i)\$|USD|\d\s*(?:/|per)"), mine(t)).otherwise(none))
+    worth = literal(r"(?i)[$]|USD|[0-9]\s*(?:/|per)")
+    return over(pay_text(*cols), "w", f"CASE WHEN w RLIKE {worth} THEN {mined} "
+                                      f"ELSE cast(array() AS array<{_CANDIDATE}>) END")
 
 
 def extract_pay(*cols: Column) -> Column:
     """The best pay figure in the texts, or "" when none scores high enough."""
-    return let(F.array_max(pay_candidates(*cols)), lambda best: F.when(
-        best["score"] >= V.MIN_PAY_SCORE, F.substring(best["text"], 1, V.MAX_CHARS["pay_rate"])).otherwise(""))
-
-
-def _amount(v: Column) -> Column:
-    cents = F.regexp_replace(F.regexp_replace(F.format_number(v, 2), "0+$", ""), r"\.$", "")
-    return F.concat(F.lit("$"), F.when(v >= 1000, F.format_number(v, 0))
-                    .when(F.abs(v - F.floor(v)) < 1e-6, F.floor(v).cast("string"))
-                    .otherwise(cents))
+    return over(F.array_max(pay_candidates(*cols)), "best", (
+        f"IF(best.score >= {V.MIN_PAY_SCORE}, substring(best.text, 1, {V.MAX_CHARS['pay_rate']}), '')"))
 
 
 def pay_format(c: Column) -> Column:
     """One display form for a pay text: ``$low-$high/hr``, ``$n/yr``, ``$n``, or ""."""
-    tidy = F.replace(clean_ws(c), F.lit("US$"), F.lit("USD"))
-    tidy = F.regexp_replace(tidy, r"\s*-\s*", "-")
-    tidy = F.regexp_replace(tidy, r"(?i)\s+to\s+", "-")
-    tidy = F.regexp_replace(tidy, r"\$\s+", r"\$")
-
-    def parse(t: Column) -> Column:
-        numbers = F.slice(F.regexp_extract_all(t, F.lit(V.NUMBER_PATTERN), F.lit(0)), 1, 2)
-        return F.struct(
-            F.transform(numbers, lambda n: F.replace(n, F.lit(","), F.lit("")).cast("double")).alias("v"),
-            _has(t, V.HOURLY_PATTERN).alias("hour"),
-            _has(t, V.YEARLY_PATTERN).alias("year"),
-        )
-
-    def unit(p: Column) -> Column:
-        low, high = V.UNITLESS_HOURLY_RANGE
-        bare = ~p["hour"] & ~p["year"]
-        return (
-            F.when(p["hour"] & F.exists(p["v"], lambda x: x > V.HOURLY_CEILING), "/yr")
-            .when(p["hour"], "/hr")
-            .when(bare & F.forall(p["v"], lambda x: x.between(low, high)), "/hr")
-            .when(p["year"] | F.exists(p["v"], lambda x: x >= V.YEARLY_FLOOR), "/yr")
-            .otherwise("")
-        )
-
-    def show(p: Column) -> Column:
-        first, second = F.get(p["v"], 0), F.get(p["v"], 1)
-        span = F.concat(_amount(F.least(first, second)), F.lit("-"), _amount(F.greatest(first, second)))
-        amount = F.when(second.isNotNull() & (first != second), span).otherwise(_amount(first))
-        return F.when(first.isNull(), "").otherwise(F.concat(amount, unit(p)))
-
-    return let(tidy, lambda t: F.when(t.rlike(r"\d"), let(parse(t), show)).otherwise(""))
+    return over(c, "raw", _pay_format("raw"))
 
 
 def choose_pay(salary: Column, mined: Column) -> Column:

@@ -39,6 +39,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def literal(s: str) -> str:
+    """A SQL string literal."""
+    body = "".join(c if c >= " " and c not in "\\'" and ord(c) < 127 else
+                   ("\\" + c if c in "\\'" else f"\\u{ord(c):04x}") for c in s)
+    return f"'{body}'"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """``let`` in SQL text: ``body`` may use ``name`` for the value."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def over(value: Column, name: str, body: str) -> Column:
+    """SQL text over a column that the text calls ``name``.
+
+    Long expressions are written as SQL text: the driver builds them in one
+    call instead of one call per node.
+    """
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), 1)
+
+
+def clean_ws_sql(c: str) -> str:
+    return f"coalesce(trim(regexp_replace({c}, {literal(WS + '+')}, ' ')), '')"
+
+
+def strip_ws_sql(c: str) -> str:
+    return f"trim(BOTH {literal(WS_CHARS)} FROM {c})"
+
+
 def nonempty(c: Column) -> Column:
     """The value, or null where it is empty; the value is evaluated once."""
     return let(c, lambda x: F.when(x != "", x))

@@ -66,4 +66,5 @@ def export_json(df: DataFrame, path: str) -> None:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """Saved listings as CSV with a header; quotes are doubled, line breaks are kept inside quotes."""
-    export_rows(df, V.CSV_FIELDS).write.options(header=True, escape='"', emptyValue="", lineSep="\r\n").csv(path)
+    export_rows(df, V.CSV_FIELDS).write.options(
+        header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

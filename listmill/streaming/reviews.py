@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listmill.operators.merge import fold_actions
 from listmill.session import work_dir
@@ -23,7 +24,7 @@ def run_available(sdf: DataFrame, path: str, name: str, mode: str) -> DataFrame:
     query = (sdf.writeStream.queryName(name).outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    schema = sdf.schema.add("batch", "int")
+    schema = T.StructType([*sdf.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{path}/rows")
 
 
