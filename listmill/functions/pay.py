@@ -7,14 +7,26 @@ from pyspark.sql import functions as F
 
 from listmill import vocab as V
 from listmill.functions.text import (
-    WS, clean_ws, clean_ws_sql, first_nonempty, let, literal, nonempty, over, sql_let, unicode_regex,
+    WS_RUN, clean_ws, clean_ws_sql, first_nonempty, let, literal, nonempty, over, sql_let, unicode_regex,
 )
 
 
 def pay_text(*cols: Column) -> Column:
     """Non-empty inputs joined by a blank, dashes and slashes unified, white space collapsed."""
     joined = F.concat_ws(" ", *[nonempty(c) for c in cols])
-    return F.regexp_replace(F.translate(joined, "–—／", "--/"), WS + "+", " ")
+    return over(joined, "j", (
+        f"regexp_replace(IF(j RLIKE '[–—／]', translate(j, '–—／', '--/'), j), {literal(WS_RUN)}, ' ')"))
+
+
+# Digit-free stretches longer than twice this many characters lose their middle.
+# Every character of a match is within 30 characters of one of its digits and
+# the context adds 40, so no match and no context reaches the cut.
+_REACH = 120
+
+
+def _near_digits(t: str) -> str:
+    stretch = rf"(?:^|(?<=[0-9]))([^0-9]{{{_REACH}}})[^0-9]+([^0-9]{{{_REACH}}})"
+    return f"regexp_replace({t}, {literal(stretch)}, {literal('$1' + chr(0) + '$2')})"
 
 
 def _rx(pattern: str) -> str:
@@ -92,7 +104,13 @@ def _pay_format(c: str) -> str:
     return sql_let(tidy, "t", f"IF(t RLIKE {digits}, {sql_let(parsed, 'p', shown)}, '')")
 
 
-_CANDIDATE = "struct<score:int,shortness:int,rule_rank:int,pos_rank:int,text:string>"
+def _candidates(text: Column) -> Column:
+    hits = ", ".join(_hits("w", i, base, p) for i, (base, p) in enumerate(V.PAY_PATTERNS, 1))
+    scored = sql_let(_pay_format("h.raw"), "shown", (
+        f"named_struct('score', {_score('h')}, 'shortness', -length(shown), 'rule_rank', -h.rule, "
+        "'pos_rank', -h.pos, 'text', shown)"))
+    return over(text, "w", f"filter(transform(filter(concat({hits}), h -> h.raw <> ''), h -> {scored}), "
+                           "c -> c.text <> '')")
 
 
 def pay_candidates(*cols: Column) -> Column:
@@ -100,20 +118,19 @@ def pay_candidates(*cols: Column) -> Column:
 
     Best: highest score, then shortest text, then rule order, then position.
     """
-    hits = ", ".join(_hits("w", i, base, p) for i, (base, p) in enumerate(V.PAY_PATTERNS, 1))
-    scored = sql_let(_pay_format("h.raw"), "shown", (
-        f"named_struct('score', {_score('h')}, 'shortness', -length(shown), 'rule_rank', -h.rule, "
-        "'pos_rank', -h.pos, 'text', shown)"))
-    mined = f"filter(transform(filter(concat({hits}), h -> h.raw <> ''), h -> {scored}), c -> c.text <> '')"
-    # Every pattern needs a dollar sign or a unit next to digits; most text has neither.
-    worth = literal(r"(?i)[$]|USD|[0-9]\s*(?:/|per)")
-    return over(pay_text(*cols), "w", f"CASE WHEN w RLIKE {worth} THEN {mined} "
-                                      f"ELSE cast(array() AS array<{_CANDIDATE}>) END")
+    return _candidates(pay_text(*cols))
 
 
 def extract_pay(*cols: Column) -> Column:
-    """The best pay figure in the texts, or "" when none scores high enough."""
-    return over(F.array_max(pay_candidates(*cols)), "best", (
+    """The best pay figure in the texts, or "" when none scores high enough.
+
+    The patterns only see the neighbourhood of digits, which is most of the
+    cost on long texts; order and contexts of the candidates stay the same.
+    """
+    # Every pattern needs a dollar sign or a unit next to digits; most text has neither.
+    worth = literal(r"(?i)[$]|USD|[0-9]\s*(?:/|per)")
+    text = over(pay_text(*cols), "p", f"IF(p RLIKE {worth}, {_near_digits('p')}, '')")
+    return over(F.array_max(_candidates(text)), "best", (
         f"IF(best.score >= {V.MIN_PAY_SCORE}, substring(best.text, 1, {V.MAX_CHARS['pay_rate']}), '')"))
 
 

@@ -18,9 +18,14 @@ WS = f"[{WS_BODY}]"
 _ODD_POINTS = [0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
                0x3000]
 _ODD_WS = "".join(map(chr, _ODD_POINTS))
-_ODD_WS_CLASS = r"[\x1c-\x1f\x85\xa0  -     　]"
+_ODD_WS_CLASS = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WS_CHARS = "\t\n\x0b\x0c\r " + _ODD_WS
 
+# A run of white space that is not one plain blank.  Single blanks, nearly all
+# of them, are not touched.
+_ODD_RUN = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_RUN = f"(?:{_ODD_RUN}{WS}*| {WS}+)"
+
 _WORD = r"[\p{L}\p{N}_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
@@ -61,7 +66,7 @@ def over(value: Column, name: str, body: str) -> Column:
 
 
 def clean_ws_sql(c: str) -> str:
-    return f"coalesce(trim(regexp_replace({c}, {literal(WS + '+')}, ' ')), '')"
+    return f"coalesce(trim(regexp_replace({c}, {literal(WS_RUN)}, ' ')), '')"
 
 
 def strip_ws_sql(c: str) -> str:
@@ -80,7 +85,7 @@ def first_nonempty(*cols: Column) -> Column:
 
 def clean_ws(c: Column) -> Column:
     """Runs of Unicode white space become one blank; ends are trimmed; null is ""."""
-    return F.coalesce(F.trim(F.regexp_replace(c, WS + "+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(c, WS_RUN, " ")), F.lit(""))
 
 
 def strip_ws(c: Column) -> Column:

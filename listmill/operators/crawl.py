@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from listmill import vocab as V
 from listmill.functions import html as H
 from listmill.functions import urls as U
 from listmill.functions.text import let
-from listmill.operators.rank import first_per
 from listmill.session import cut_lineage
 
 
@@ -58,19 +59,19 @@ def next_pages(df: DataFrame) -> DataFrame:
 
 # -- crawl rules --------------------------------------------------------------
 
-def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``allowed`` to rows of URLs by the crawl rules of their origin.
+@dataclass
+class CrawlRules:
+    """The rules that apply to this crawler: one per origin and prefix, and the prefix lengths per origin."""
 
-    Rules are rows of origin, agent, rule_order, allow and path_prefix.  The
-    first agent group that is part of the crawler's token applies, else the
-    ``*`` group; in it the first rule whose prefix starts the path decides.
+    active: DataFrame
+    lengths: DataFrame
 
-    A prefix match becomes an equi-join: the rules of an origin have few
-    distinct prefix lengths, and a URL is looked up once per length.  So no
-    origin's rules are gathered into one row and no URL meets every rule of its
-    origin.  The looked-up tables are written first: then their size is known
-    (Spark broadcasts them only below its threshold) and both join sides are
-    plain shuffles, which the adaptive skew join splits at a hot origin or URL.
+
+def crawl_rules(robots: DataFrame) -> CrawlRules:
+    """Keep the rules that apply.
+
+    ``robots`` has origin, agent, rule_order, allow and path_prefix.  The first
+    agent group that is part of the crawler's token applies, else the ``*`` group.
     """
     agent = F.lower(F.coalesce("agent", F.lit("*")))
     group_rank = F.when(agent == "*", 1).when(F.contains(F.lit(V.AGENT_TOKEN), agent), 0)
@@ -80,21 +81,35 @@ def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataF
         (F.col("allow") | (F.col("path_prefix") == "")).alias("allow"),
         F.when(F.col("path_prefix") == "*", "").otherwise(F.col("path_prefix")).alias("prefix"),
     ).where("grp is not null")
-    chosen = rules.groupBy("origin").agg(F.min_by("agent", F.struct("grp", "rule_order")).alias("agent"))
+    chosen = cut_lineage(rules.groupBy("origin").agg(
+        F.min_by("agent", F.struct("grp", "rule_order")).alias("agent")), "agents")
     active = cut_lineage(rules.join(chosen, ["origin", "agent"]).groupBy("origin", "prefix").agg(
         F.min(F.struct("rule_order", "allow")).alias("rule")), "rules")
+    # At most one entry per possible prefix length, however many rules there are.
     lengths = cut_lineage(active.groupBy("origin").agg(F.collect_set(F.length("prefix")).alias("_lengths")), "lengths")
+    return CrawlRules(active, lengths)
+
 
+def robots_filter(urls: DataFrame, robots: DataFrame | CrawlRules, url: str = "url") -> DataFrame:
+    """Add ``allowed`` to rows of URLs: the first rule whose prefix starts the path decides.
+
+    A prefix match becomes an equi-join: the rules of an origin have few
+    distinct prefix lengths, and a URL is looked up once per length.  So no
+    origin's rules are gathered into one row and no URL meets every rule of its
+    origin.  The looked-up tables are written first: then their size is known
+    (Spark broadcasts them only below its threshold) and both join sides are
+    plain shuffles, which the adaptive skew join splits at a hot origin or URL.
+    """
+    rules = robots if isinstance(robots, CrawlRules) else crawl_rules(robots)
     tail = F.regexp_extract(F.col(url), r"^[^:/?#]+://[^/?#]*([^#]*)", 1)
-    target = F.when(tail == "", "/").otherwise(tail)
-    distinct = urls.select(url).distinct()
-    keyed = distinct.select(url, U.origin(F.col(url)).alias("origin"), target.alias("_target"))
-    probes = keyed.join(lengths, "origin").select(
+    keyed = urls.select(url).distinct().select(
+        url, U.origin(F.col(url)).alias("origin"), F.when(tail == "", "/").otherwise(tail).alias("_target"))
+    probes = keyed.join(rules.lengths, "origin").select(
         url, "origin", "_target",
         F.explode(F.filter("_lengths", lambda n: n <= F.length("_target"))).alias("_n"))
     verdicts = cut_lineage(
         probes.select(url, "origin", F.substring(F.col("_target"), F.lit(1), F.col("_n")).alias("prefix"))
-        .join(active, ["origin", "prefix"])
+        .join(rules.active, ["origin", "prefix"])
         .groupBy(url).agg(F.min("rule").alias("_rule"))
         .select(url, F.col("_rule.allow").alias("_allow")), "verdicts")
     return urls.join(verdicts, url, "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
@@ -118,6 +133,8 @@ def walk(seeds: DataFrame, edges: DataFrame, max_pages: int) -> DataFrame:
     step = 1
     while step < max_pages:
         jumps = cut_lineage(jumps, "jumps")
+        if jumps.isEmpty():                    # no walk is longer than this
+            break
         ahead = paths.join(jumps, "node").select("seed", F.col("next_node").alias("node"),
                                                  (F.col("hop") + step).alias("hop"))
         paths = cut_lineage(paths.unionByName(ahead.where(F.col("hop") < max_pages)), "paths")
@@ -127,12 +144,6 @@ def walk(seeds: DataFrame, edges: DataFrame, max_pages: int) -> DataFrame:
     return paths.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
 
 
-def landed_keys(pages: DataFrame) -> DataFrame:
-    """Landed pages, one per URL key (the first by page_id)."""
-    keyed = pages.withColumn("key", U.url_key(F.col("url")))
-    return first_per(keyed, ["key"], ["page_id"])
-
-
 def page_edges(pages: DataFrame) -> DataFrame:
     """Edges from landed pages to the landed page that their next link names.
 

@@ -55,8 +55,11 @@ def feed_listing(df: DataFrame, now: Column | None = None, keep: Sequence[str] =
     return _assemble(rich, F.col("_pay"), posted, F.col("source"), now, keep)
 
 
-def page_fields(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Title, company, location, description and date text of pages (url, html)."""
+def page_fields(df: DataFrame, keep: Sequence[str] = (), extra: dict[str, Column] | None = None) -> DataFrame:
+    """Title, company, location, description and date text of pages (url, html).
+
+    ``extra`` columns may use ``_seen``, the page without comments and scripts.
+    """
     seen = df.select(*keep, "url", H.hide(F.col("html")).alias("_seen"))
     seen = seen.withColumn("_main", H.select_text(F.col("_seen"), V.DESCRIPTION_SELECTORS))
     v, main = F.col("_seen"), F.col("_main")
@@ -67,6 +70,7 @@ def page_fields(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         H.page_location(v).alias("location"),
         F.when(main != "", main).otherwise(H.page_body(v)).alias("description"),
         F.when(main != "", H.time_tag(v)).otherwise(let(H.without_chrome(v), H.time_tag)).alias("_time"),
+        *[c.alias(name) for name, c in (extra or {}).items()],
     )
 
 
@@ -86,9 +90,9 @@ def listing_from_fields(df: DataFrame, source: Column | None = None, now: Column
 def page_listing(df: DataFrame, source: Column | None = None, now: Column | None = None,
                  keep: Sequence[str] = ()) -> DataFrame:
     """Full listings from landed pages."""
-    extra = keep if source is None else (*keep, "_source")
+    kept = keep if source is None else (*keep, "_source")
     rows = df if source is None else df.withColumn("_source", source)
-    return listing_from_fields(page_fields(rows, extra), None if source is None else F.col("_source"), now, keep)
+    return listing_from_fields(page_fields(rows, kept), None if source is None else F.col("_source"), now, keep)
 
 
 # -- filters ------------------------------------------------------------------

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listmill import vocab as V
 from listmill.functions.text import nonempty
 from listmill.functions.urls import url_key
+from listmill.session import cut_lineage
 
 _FIRST_KEPT = [c for c in V.LISTING_FIELDS if c not in V.REFRESHED_FIELDS]
 
@@ -35,28 +36,30 @@ def upsert_listings(state: DataFrame, batch: DataFrame, now: Column, order: str
 
     Saved and deleted listings never change.  Unreviewed ones take the batch's
     non-empty values field by field.  New keys are added.
+
+    The folded batch is written first, so its size is known: a small batch is
+    broadcast and the snapshot, with its long texts, is not shuffled at all.
     """
-    # Where several state rows share a key, the newest one is the one a batch refreshes.
-    newest = Window.partitionBy("_key").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    old = state.select(*V.LISTING_FIELDS).withColumn("_key", merge_key()).withColumn(
-        "_target", F.row_number().over(newest) == 1)
-    new = fold_batch(batch, order)
-    # Window, fold and join all use the key's partitioning: one shuffle per side.
-    same = (F.col("o._key") == F.col("n._key")) & F.col("o._target")
-    joined = old.alias("o").join(new.alias("n"), same, "full_outer")
-    known, came = F.col("o.id").isNotNull(), F.col("n.id").isNotNull()
-    frozen = F.col("o.status").isin(V.FROZEN_STATUSES)
-    refresh = known & came & ~frozen
+    old = state.select(*V.LISTING_FIELDS)
+    new = cut_lineage(fold_batch(batch, order), "batch")
+    # Which listing each key refreshes: the newest, where an edited URL made two listings share a key.
+    keys = old.select(merge_key().alias("_key"), "id", "created_at").join(new.select("_key"), "_key")
+    hits = cut_lineage(keys.groupBy("_key").agg(
+        F.max_by("id", F.struct("created_at", "id")).alias("_id")), "hits")
+    changes = cut_lineage(new.join(hits, "_key"), "changes")
+    refreshed = {c: F.col(c).alias(f"_{c}") for c in V.REFRESHED_FIELDS}
+    joined = old.join(changes.select(F.col("_id").alias("id"), *refreshed.values()), "id", "left")
+    refresh = F.col("_title").isNotNull() & ~F.col("status").isin(V.FROZEN_STATUSES)
 
     def field(c: str) -> Column:
-        o, n = F.col(f"o.{c}"), F.col(f"n.{c}")
         if c == "updated_at":
-            return F.when(refresh, now).when(known, o).otherwise(n)
+            return F.when(refresh, now).otherwise(F.col(c))
         if c in V.REFRESHED_FIELDS:
-            return F.when(refresh & (n != ""), n).when(known, o).otherwise(n)
-        return F.when(known, o).otherwise(n)
+            return F.when(refresh & (F.col(f"_{c}") != ""), F.col(f"_{c}")).otherwise(F.col(c))
+        return F.col(c)
 
-    return joined.select(*[field(c).alias(c) for c in V.LISTING_FIELDS])
+    added = new.join(hits, "_key", "left_anti").select(*V.LISTING_FIELDS)
+    return joined.select(*[field(c).alias(c) for c in V.LISTING_FIELDS]).unionByName(added)
 
 
 # -- reviews ------------------------------------------------------------------
@@ -82,7 +85,11 @@ def fold_actions(actions: DataFrame, patch_fields: list[str]) -> DataFrame:
 
 
 def apply_reviews(state: DataFrame, folded: DataFrame) -> DataFrame:
-    """Listings after the folded actions; ``updated_at`` is the time of the last one."""
+    """Listings after the folded actions; ``updated_at`` is the time of the last one.
+
+    The actions are written first, so that their size decides how they join.
+    """
+    folded = cut_lineage(folded, "actions")
     names = [c[1:] for c in folded.columns if c not in ("id", "_status", "_ts")]
     stamp = F.date_format("_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     joined = state.join(folded, "id", "left")
@@ -100,7 +107,7 @@ def unknown_reviews(state: DataFrame, folded: DataFrame) -> DataFrame:
 
 def mark_deleted(state: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """Set the status of the given ids to deleted."""
-    hit = ids.select("id", F.lit(True).alias("_hit")).distinct()
+    hit = cut_lineage(ids.select("id", F.lit(True).alias("_hit")).distinct(), "deleted")
     out = state.join(hit, "id", "left")
     return out.withColumns({
         "status": F.when(F.col("_hit"), "deleted").otherwise(F.col("status")),

@@ -13,9 +13,9 @@ from listmill.functions import html as H
 from listmill.functions.classify import contract_rule
 from listmill.functions.text import contains_any, matches_keywords
 from listmill.functions.urls import netloc, url_key
-from listmill.operators.crawl import landed_keys, page_links, robots_filter, walk
+from listmill.operators.crawl import crawl_rules, page_links, robots_filter, walk
 from listmill.operators.listing import page_fields, page_listing
-from listmill.operators.rank import caps
+from listmill.operators.rank import caps, first_per
 from listmill.operators.report import failures
 from listmill.session import cut_lineage
 from listmill.sources.pages import board_seeds
@@ -30,34 +30,33 @@ class Scraped:
     fetches: DataFrame
 
 
-def _targets(boards: DataFrame, landed: DataFrame, link_limit: int, max_pages: int) -> DataFrame:
-    """Every page a board's walk visits, with the links to fetch from it.
+def parse_pages(pages: DataFrame, keywords: Sequence[str], link_limit: int) -> DataFrame:
+    """Everything a run must know of each landed page, in narrow columns; one row per URL key.
 
-    Walks move over narrow edges; page bodies are read once, for links and next page.
+    One pass over the page bodies.  They are parsed where they are read and
+    never shuffled; only links, flags and names go on.
     """
-    parsed = landed.withColumn("_seen", H.hide(F.col("html"))).select(
-        "key", "url", page_links(F.col("url"), F.col("_seen"), link_limit).alias("links"),
-        url_key(H.next_page(F.col("url"), F.col("_seen"))).alias("next_key"))
-    parsed = cut_lineage(parsed, "parsed")
+    parsed = page_fields(pages, keep=("page_id",), extra={
+        "links": page_links(F.col("url"), F.col("_seen"), link_limit),
+        "next_key": url_key(H.next_page(F.col("url"), F.col("_seen"))),
+    })
+    keep = (F.col("title") != "") & matches_keywords(F.col("title"), F.col("description"), keywords)
+    narrow = parsed.select(
+        url_key(F.col("url")).alias("key"), "page_id", "url", "company", "links", "next_key", keep.alias("keep"),
+        contract_rule(F.col("title"), F.col("description")).isNotNull().alias("contract"))
+    return first_per(narrow, ["key"], ["page_id"])
+
+
+def _visits(boards: DataFrame, parsed: DataFrame, max_pages: int) -> DataFrame:
+    """Every page a board's walk visits, with the links to fetch from it."""
     edges = parsed.where("next_key <> '' and next_key <> key").select(
         F.col("key").alias("node"), F.col("next_key").alias("next_node"))
-    seeds = boards.select(F.col("key").alias("node")).distinct()
-    steps = walk(seeds, edges, max_pages)
+    steps = walk(boards.select(F.col("key").alias("node")).distinct(), edges, max_pages)
     visits = boards.join(steps.withColumnRenamed("seed", "key"), "key").select("board", "board_url", "node", "hop")
     # A page without links is itself the listing page.
     links = F.when(F.size("links") == 0, F.array("url")).otherwise(F.col("links"))
     return visits.join(parsed.withColumnRenamed("key", "node"), "node").select(
-        "board", "board_url", "hop", F.col("url").alias("page_url"), links.alias("links"))
-
-
-def _facts(landed: DataFrame, keys: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """What the filters need to know of each linked page; pages nobody links to are not parsed."""
-    linked = landed.join(keys, "key", "left_semi")
-    rows = page_fields(linked, keep=("key", "page_id"))
-    keep = (F.col("title") != "") & matches_keywords(F.col("title"), F.col("description"), keywords)
-    return rows.select(
-        "key", "page_id", "company", keep.alias("keep"),
-        contract_rule(F.col("title"), F.col("description")).isNotNull().alias("contract"))
+        "board", "board_url", "hop", links.alias("links"))
 
 
 def scrape(boards: DataFrame, pages: DataFrame, robots: DataFrame, keywords: Sequence[str], n: int,
@@ -69,23 +68,23 @@ def scrape(boards: DataFrame, pages: DataFrame, robots: DataFrame, keywords: Seq
     with narrow columns; only the at most ``n`` winners are parsed into listings.
     """
     cap = caps(n)
+    rules = crawl_rules(robots)
     seeds = board_seeds(boards).select("board", F.col("url").alias("board_url"))
-    seeds = cut_lineage(robots_filter(seeds, robots, "board_url").withColumn("key", url_key(F.col("board_url"))),
-                        "seeds")
+    seeds = cut_lineage(robots_filter(seeds, rules, "board_url").withColumn("key", url_key(F.col("board_url"))), "seeds")
     open_seeds = seeds.where("allowed")
-    landed = landed_keys(pages)
-    visits = cut_lineage(_targets(open_seeds, landed, cap["link_limit"], cap["max_pages"]), "visits")
+    parsed = cut_lineage(parse_pages(pages, keywords, cap["link_limit"]), "parsed")
+    visits = cut_lineage(_visits(open_seeds, parsed, cap["max_pages"]), "visits")
 
     links = visits.select("board", "board_url", "hop", F.posexplode("links").alias("pos", "link"))
     links = links.withColumns({"pos": F.col("pos") + 1, "key": url_key(F.col("link"))})
-    links = cut_lineage(robots_filter(links, robots, "link").where("allowed"), "links")
-    facts = cut_lineage(_facts(landed, links.select("key"), keywords), "facts")
+    links = robots_filter(links, rules, "link").where("allowed")
+    facts = parsed.select("key", "page_id", "company", "keep", "contract")
 
     owner = F.lower(F.concat("company", F.lit(" "), netloc(F.col("board_url"))))
-    events = links.join(facts, "key", "left").select(
+    events = cut_lineage(links.join(facts, "key", "left").select(
         *ORDER, "key", "link", "board_url", "page_id",
-        (F.col("keep") & (F.col("contract") | contains_any(owner, V.PLATFORMS))).alias("accept"))
-    landed_events = cut_lineage(events.where("page_id is not null"), "events")
+        (F.col("keep") & (F.col("contract") | contains_any(owner, V.PLATFORMS))).alias("accept")), "events")
+    landed_events = events.where("page_id is not null")
     # Once a key is accepted it is not fetched again.
     first = cut_lineage(landed_events.where("accept").groupBy("key").agg(
         F.min(F.struct(*ORDER)).alias("first")), "first")
@@ -101,7 +100,7 @@ def scrape(boards: DataFrame, pages: DataFrame, robots: DataFrame, keywords: Seq
     listings = page_listing(bodies, netloc(F.col("board_url")), now, keep=ORDER)
     failed = failures(
         seeds.where("not allowed").select(F.col("board_url").alias("url"), F.lit("Blocked by robots.txt").alias("error")),
-        open_seeds.join(landed.select("key"), "key", "left_anti").select(
+        open_seeds.join(parsed.select("key"), "key", "left_anti").select(
             F.col("board_url").alias("url"), F.lit("page has not landed").alias("error")),
         events.where("page_id is null").select(F.col("link").alias("url"), F.lit("page has not landed").alias("error")),
     )
