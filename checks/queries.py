@@ -344,13 +344,13 @@ _from_low("screening", A.screening)
 @query
 def client_partner(spark, sf):
     return blob_columns(I.listings(spark, sf)).select(
-        "listing_id", A.client_partner(F.col("blob"), F.col("low")).alias("client_partner"))
+        "listing_id", A.client_partner(F.col("blob")).alias("client_partner"))
 
 
 @query
 def sections(spark, sf):
-    rows = blob_columns(I.listings(spark, sf)).withColumn("text", T.plain_ws(F.col("description")))
-    return rows.select("listing_id", *[A.section(F.col("text"), F.col("low"), g).alias(g) for g in V.SECTION_HEADERS])
+    rows = I.listings(spark, sf).withColumn("text", T.plain_ws(F.col("description")))
+    return rows.select("listing_id", *[A.section(F.col("text"), g).alias(g) for g in V.SECTION_HEADERS])
 
 
 @query

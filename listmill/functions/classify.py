@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listmill import vocab as V
-from listmill.functions.text import contains_any, let, unicode_regex
+from listmill.functions.text import contains_any, contains_any_sql, literal, over, unicode_regex
 
 
 def _token(c: Column) -> Column:
@@ -35,20 +35,17 @@ def contract_rule(
     tags = F.array().cast("array<string>") if tags is None else tags
     owner = F.lower(F.concat(blank if company is None else company, F.lit(" "), blank if source is None else source))
     types = F.concat_ws(" ", F.concat(F.array(_token(job_type)), F.transform(tags, _token)))
-    words = "|".join(V.CONTRACT_WORDS)
-    token_set = F.array(*[F.lit(t) for t in V.TYPE_TOKENS])
-
-    def rest(low: Column) -> Column:
-        return (
-            F.when(contains_any(low, V.CONTRACT_PHRASES), "phrase")
-            .when(contains_any(low, V.CONTRACT_WORDS) & low.rlike(unicode_regex(rf"\b(?:{words})\b")), "word")
-            .when(contains_any(low, V.LABELING_TERMS)
-                  & ~(low.contains("permanent") & low.rlike(unicode_regex(V.PERMANENT_PATTERN))), "labeling")
-        )
-
+    short = rf"\b(?:{'|'.join(V.CONTRACT_WORDS)})\b"
+    token_set = F.expr(f"array({', '.join(literal(t) for t in V.TYPE_TOKENS)})")
+
+    low_rules = (
+        f"CASE WHEN {contains_any_sql('b', V.CONTRACT_PHRASES)} THEN 'phrase' "
+        f"WHEN {contains_any_sql('b', V.CONTRACT_WORDS)} AND b RLIKE {literal(unicode_regex(short))} THEN 'word' "
+        f"WHEN {contains_any_sql('b', V.LABELING_TERMS)} AND NOT (contains(b, 'permanent') "
+        f"AND b RLIKE {literal(unicode_regex(V.PERMANENT_PATTERN))}) THEN 'labeling' END")
     blob = F.concat_ws("\n", title, text, job_type, F.concat_ws(" ", tags))
     return (
         F.when(contains_any(owner, V.PLATFORMS), "platform")
         .when(F.arrays_overlap(F.split(types, "[^a-z0-9_+]+"), token_set), "token")
-        .otherwise(let(F.lower(blob), rest))
+        .otherwise(over(F.lower(blob), "b", low_rules))
     )

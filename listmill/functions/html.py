@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from listmill import vocab as V
 from listmill.functions.text import (
-    clean_ws, clean_ws_sql, first_nonempty, let, literal, over, sql_let, strip_ws, strip_ws_sql,
+    clean_ws, clean_ws_sql, first_found, let, literal, over, sql_let, strip_ws, strip_ws_sql,
 )
 from listmill.functions.urls import urljoin
 
@@ -208,7 +208,7 @@ def hrefs(visible: Column) -> Column:
 # -- fields of a page ---------------------------------------------------------
 
 def page_title(visible: Column) -> Column:
-    return first_nonempty(meta_value(visible, V.TITLE_META), select_text(visible, V.TITLE_SELECTORS))
+    return first_found(meta_value(visible, V.TITLE_META), select_text(visible, V.TITLE_SELECTORS))
 
 
 def host_company(host: Column) -> Column:
@@ -219,8 +219,8 @@ def host_company(host: Column) -> Column:
 
 
 def page_company(visible: Column, host: Column) -> Column:
-    return first_nonempty(meta_value(visible, V.COMPANY_META), select_text(visible, V.COMPANY_SELECTORS),
-                          host_company(host))
+    return first_found(meta_value(visible, V.COMPANY_META), select_text(visible, V.COMPANY_SELECTORS),
+                       host_company(host))
 
 
 def page_location(visible: Column) -> Column:
@@ -229,7 +229,7 @@ def page_location(visible: Column) -> Column:
 
 def page_description(visible: Column) -> Column:
     """Text of the description element, else of the page without its chrome."""
-    return first_nonempty(select_text(visible, V.DESCRIPTION_SELECTORS), page_body(visible))
+    return first_found(select_text(visible, V.DESCRIPTION_SELECTORS), page_body(visible))
 
 
 def without_chrome(visible: Column) -> Column:
@@ -245,7 +245,7 @@ def time_tag(visible: Column) -> Column:
     """The first time element's datetime attribute, else its text."""
     tag = F.regexp_extract(visible, r"(?i)<time(?=[\s/>])[^>]*>", 0)
     return F.when(visible.rlike(r"(?i)<time(?=[\s/>])"),
-                  clean_ws(first_nonempty(attribute(tag, "datetime"), visible_text(element_html(visible, "time"))))
+                  clean_ws(first_found(attribute(tag, "datetime"), visible_text(element_html(visible, "time"))))
                   ).otherwise("")
 
 

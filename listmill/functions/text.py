@@ -6,7 +6,6 @@ All of them are built-in Catalyst expressions: no Python runs on the executors.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,11 +74,17 @@ def strip_ws_sql(c: str) -> str:
 
 def nonempty(c: Column) -> Column:
     """The value, or null where it is empty; the value is evaluated once."""
-    return let(c, lambda x: F.when(x != "", x))
+    return over(c, "x", "nullif(x, '')")
 
 
 def first_nonempty(*cols: Column) -> Column:
-    """The first value that is neither null nor empty, else ""."""
+    """The first value that is neither null nor empty, else "".  Evaluates all of them."""
+    filled = F.call_function("filter", F.array(*cols), F.expr("x -> x <> ''"))
+    return F.coalesce(F.get(filled, 0), F.lit(""))
+
+
+def first_found(*cols: Column) -> Column:
+    """The same, but a value is only computed where those before it are empty."""
     return F.coalesce(*[nonempty(c) for c in cols], F.lit(""))
 
 
@@ -98,32 +103,34 @@ def plain_ws(c: Column) -> Column:
     return F.when(c.rlike(_ODD_WS_CLASS), F.translate(c, _ODD_WS, " " * len(_ODD_WS))).otherwise(c)
 
 
+def contains_any_sql(c: str, literals: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, {literal(x)})" for x in literals) + ")"
+
+
 def contains_any(c: Column, literals: Iterable[str]) -> Column:
     """True where any literal is a substring: byte search, no regex."""
-    return reduce(lambda a, b: a | b, [c.contains(x) for x in literals])
+    return over(c, "x", contains_any_sql("x", literals))
 
 
-def has_rule(low: Column, rule: tuple[str, str, Sequence[str]]) -> Column:
+def has_rule_sql(low: str, rule: tuple[str, str, Sequence[str]]) -> str:
     """True where the rule's pattern occurs in lower-cased text.
 
     The literals are a cheap guard: the regex only runs on rows that hold one.
     """
     _, pattern, literals = rule
-    return contains_any(low, literals) & low.rlike(unicode_regex(pattern))
+    return f"({contains_any_sql(low, literals)} AND {low} RLIKE {literal(unicode_regex(pattern))})"
 
 
-def first_label(low: Column, rules, default: str) -> Column:
+def first_label_sql(low: str, rules, default: str) -> str:
     """Label of the first rule that holds (CASE WHEN stops there)."""
-    out = None
-    for rule in rules:
-        out = F.when(has_rule(low, rule), rule[0]) if out is None else out.when(has_rule(low, rule), rule[0])
-    return out.otherwise(default)
+    cases = " ".join(f"WHEN {has_rule_sql(low, r)} THEN {literal(r[0])}" for r in rules)
+    return f"CASE {cases} ELSE {literal(default)} END"
 
 
-def all_labels(low: Column, rules, limit: int | None = None) -> Column:
-    """Labels of all rules that hold, in rule order, joined by ", "."""
-    hits = F.array_compact(F.array(*[F.when(has_rule(low, r), F.lit(r[0])) for r in rules]))
-    return F.array_join(F.slice(hits, 1, limit) if limit else hits, ", ")
+def all_labels_sql(low: str, rules, limit: int) -> str:
+    """Labels of all rules that hold, in rule order, joined by ", "; at most ``limit``."""
+    hits = ", ".join(f"IF({has_rule_sql(low, r)}, {literal(r[0])}, NULL)" for r in rules)
+    return f"array_join(slice(array_compact(array({hits})), 1, {limit}), ', ')"
 
 
 def parse_keywords(c: Column) -> Column:
