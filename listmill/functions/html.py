@@ -41,14 +41,17 @@ def hide(html: Column) -> Column:
 
 
 def _decode(entity: str) -> str:
-    codes = literal(",".join(f"{n}={c}" for n, c in _ENTITY_CODES.items()))
-    body = f"regexp_extract({entity}, '^&#?([^;]+)', 1)"
-    code = (f"CASE WHEN {entity} RLIKE '^&#[xX]' THEN conv(substring({body}, 2, 8), 16, 10) "
-            f"WHEN startswith({entity}, '&#') THEN substring({body}, 1, 10) "
-            f"ELSE try_element_at(str_to_map({codes}, ',', '='), {body}) END")
-    return sql_let(f"try_cast({code} AS bigint)", "n", (
-        f"CASE WHEN n IS NULL THEN {entity} WHEN n BETWEEN 1 AND 1114111 "
-        "THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') ELSE '\\ufffd' END"))
+    # The codes are one string, searched by name: small in the plan, and rarely read.
+    codes = literal("," + ",".join(f"{n}={c}" for n, c in _ENTITY_CODES.items()))
+    value = sql_let(f"substring_index({codes}, concat(',', b, '='), -1)", "k",
+                    "IF(k RLIKE '^[0-9]', substring_index(k, ',', 1), NULL)")
+    named = f"IF(b RLIKE '^[a-zA-Z][a-zA-Z0-9]+$', {value}, NULL)"
+    code = (f"CASE WHEN {entity} RLIKE '^&#[xX]' THEN conv(substring(b, 2, 8), 16, 10) "
+            f"WHEN startswith({entity}, '&#') THEN substring(b, 1, 10) ELSE {named} END")
+    shown = (f"CASE WHEN n IS NULL THEN {entity} WHEN n BETWEEN 1 AND 1114111 "
+             "THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') ELSE '\\ufffd' END")
+    return sql_let(f"regexp_extract({entity}, '^&#?([^;]+)', 1)", "b",
+                   sql_let(f"try_cast({code} AS bigint)", "n", shown))
 
 
 def _unescape(c: str) -> str:
@@ -160,9 +163,10 @@ def select_text(visible: Column, selectors: list[str]) -> Column:
 
     Later selectors are only tried where the earlier ones found nothing.
     """
-    tries = [sql_let(_element_html("v", s), "inside", clean_ws_sql(_visible_text("inside"))) for s in selectors]
-    found = [sql_let(t, "found", "nullif(found, '')") for t in tries]
-    return over(visible, "v", f"coalesce({', '.join(found)}, '')")
+    turns = " ".join(f"WHEN {i} THEN {_element_html('v', s)}" for i, s in enumerate(selectors, 1))
+    text = sql_let(f"CASE i {turns} END", "inside", f"IF(inside IS NULL, '', {clean_ws_sql(_visible_text('inside'))})")
+    return over(visible, "v", (
+        f"aggregate(sequence(1, {len(selectors)}), '', (found, i) -> IF(found = '', {text}, found))"))
 
 
 def meta_value(visible: Column, keys: list[str]) -> Column:
