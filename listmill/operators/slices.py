@@ -16,11 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listmill.session import cut_lineage
+from listmill.session import cut_lineage, range_parted
 
 
 def _sliced(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    parted = df.repartitionByRange(*[F.col(c) for c in by])
+    parted = range_parted(df, [F.col(c) for c in by])
     return cut_lineage(parted.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
