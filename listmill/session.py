@@ -54,15 +54,6 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def range_parted(df: DataFrame, by: list, target: int = 256 << 20, most: int = 100_000) -> DataFrame:
-    """Range-partition rows: by the session's number, where adaptive execution merges small
-    parts, or into more parts where the data is so large that those would outgrow memory."""
-    wanted = min(estimated_bytes(df) // target, most)
-    if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        return df.repartitionByRange(wanted, *by)
-    return df.repartitionByRange(*by)
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on an input too small to be split; larger inputs are left as they are.
 
