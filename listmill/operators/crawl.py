@@ -11,6 +11,7 @@ from listmill import vocab as V
 from listmill.functions import html as H
 from listmill.functions import urls as U
 from listmill.functions.text import let
+from listmill.operators.rank import top_rows
 from listmill.session import cut_lineage
 
 
@@ -173,4 +174,4 @@ def follow_links(boards: DataFrame, pages: DataFrame, limit: int = 80) -> DataFr
 
 def fetch_budget(df: DataFrame, n: int, order: tuple[str, ...] = ("board_id", "pos")) -> DataFrame:
     """The first ``n`` fetches of a run in board order; n is at most 400, so this is a small top-k."""
-    return df.orderBy(*order).limit(n)
+    return top_rows(df, order, n)

@@ -15,7 +15,7 @@ from listmill.functions.text import contains_any, matches_keywords
 from listmill.functions.urls import netloc, url_key
 from listmill.operators.crawl import crawl_rules, page_links, robots_filter, walk
 from listmill.operators.listing import page_fields, page_listing
-from listmill.operators.rank import caps, first_per
+from listmill.operators.rank import caps, first_per, top_rows
 from listmill.operators.report import failures
 from listmill.session import cut_lineage
 from listmill.sources.pages import board_seeds
@@ -51,7 +51,7 @@ def _visits(boards: DataFrame, parsed: DataFrame, max_pages: int) -> DataFrame:
     """Every page a board's walk visits, with the links to fetch from it."""
     edges = parsed.where("next_key <> '' and next_key <> key").select(
         F.col("key").alias("node"), F.col("next_key").alias("next_node"))
-    steps = walk(boards.select(F.col("key").alias("node")).distinct(), edges, max_pages)
+    steps = cut_lineage(walk(boards.select(F.col("key").alias("node")).distinct(), edges, max_pages), "steps")
     visits = boards.join(steps.withColumnRenamed("seed", "key"), "key").select("board", "board_url", "node", "hop")
     # A page without links is itself the listing page.
     links = F.when(F.size("links") == 0, F.array("url")).otherwise(F.col("links"))
@@ -93,9 +93,10 @@ def scrape(boards: DataFrame, pages: DataFrame, robots: DataFrame, keywords: Seq
     page_fetches = visits.select("board", "hop", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("key"),
                                  "board_url", F.lit(None).cast("bigint").alias("page_id"), F.lit(False).alias("accept"))
     fetches = due.select(*page_fetches.columns).unionByName(page_fetches)
-    spent = cut_lineage(fetches.orderBy(*ORDER).limit(cap["max_fetches"]), "fetches")
+    spent = cut_lineage(top_rows(fetches, ORDER, cap["max_fetches"]), "fetches")
     winners = spent.where("accept").orderBy(*ORDER).limit(cap["target"])
 
+    # At most max_fetches rows, which the caps hold at 400: small enough to broadcast.
     bodies = pages.join(F.broadcast(winners.select("page_id", "board_url", *ORDER)), "page_id")
     listings = page_listing(bodies, netloc(F.col("board_url")), now, keep=ORDER)
     failed = failures(

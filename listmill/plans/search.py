@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listmill import vocab as V
 from listmill.functions.urls import url_key
 from listmill.operators.listing import contract_filter, feed_listing, keyword_filter
 from listmill.operators.rank import first_distinct, rank_hits
@@ -47,9 +48,12 @@ def search(feeds: Sequence[Feed], keywords: Sequence[str], n: int, now: Column |
     if not keywords:
         raise ValueError("Add at least one keyword")
     target = max(1, int(n or 1))
+    if target > V.MAX_TARGET:
+        raise ValueError(f"A run collects at most {V.MAX_TARGET} listings")
     narrow = feed_items(feeds, keywords).select("key", "source", *ORDER)
     winners = first_distinct(narrow, "key", ORDER, target)
     won = []
+    # At most MAX_TARGET rows: small enough to broadcast.
     for feed in feeds:
         ids = winners.where((F.col("source") == feed.source) & (F.col("pass") == feed.turn))
         payloads = feed.payloads.join(F.broadcast(ids.select("payload_id").distinct()), "payload_id", "left_semi")
