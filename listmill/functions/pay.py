@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from listmill import vocab as V
 from listmill.functions.text import (
-    WS_RUN, clean_ws, clean_ws_sql, first_nonempty, let, literal, nonempty, over, sql_let, unicode_regex,
+    WS_RUN, clean_ws, clean_ws_sql, contains_any_sql, first_nonempty, let, literal, nonempty, over, sql_let, unicode_regex,
 )
 
 
@@ -15,7 +15,7 @@ def pay_text(*cols: Column) -> Column:
     """Non-empty inputs joined by a blank, dashes and slashes unified, white space collapsed."""
     joined = F.concat_ws(" ", *[nonempty(c) for c in cols])
     return over(joined, "j", (
-        f"regexp_replace(IF(j RLIKE '[–—／]', translate(j, '–—／', '--/'), j), {literal(WS_RUN)}, ' ')"))
+        f"regexp_replace(IF({contains_any_sql('j', '–—／')}, translate(j, '–—／', '--/'), j), {literal(WS_RUN)}, ' ')"))
 
 
 # Digit-free stretches longer than twice this many characters lose their middle.

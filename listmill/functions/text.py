@@ -23,7 +23,8 @@ WS_CHARS = "\t\n\x0b\x0c\r " + _ODD_WS
 # A run of white space that is not one plain blank.  Single blanks, nearly all
 # of them, are not touched.
 _ODD_RUN = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-WS_RUN = f"(?:{_ODD_RUN}{WS}*| {WS}+)"
+# Printable ASCII fails at the first test, before the wide classes are tried.
+WS_RUN = f"(?![!-~])(?:{_ODD_RUN}{WS}*| (?![!-~]){WS}+)"
 
 _WORD = r"[\p{L}\p{N}_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
@@ -100,7 +101,7 @@ def strip_ws(c: Column) -> Column:
 
 def plain_ws(c: Column) -> Column:
     """Turn non-ASCII white space into blanks so that ``\\s`` sees all of it."""
-    return F.when(c.rlike(_ODD_WS_CLASS), F.translate(c, _ODD_WS, " " * len(_ODD_WS))).otherwise(c)
+    return F.when(c.rlike(f"(?![ -~]){_ODD_WS_CLASS}"), F.translate(c, _ODD_WS, " " * len(_ODD_WS))).otherwise(c)
 
 
 def contains_any_sql(c: str, literals: Iterable[str]) -> str:
