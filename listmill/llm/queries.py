@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listmill.llm import mixing, token_files
+from listmill.llm import line_runs, mixing, token_files
 from listmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,29 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op2_line_dedup(spark, sf):
+    return line_runs.dedup_lines(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+#: White space that is stripped, in one place for the SQL below.
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLES["op2_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, pos, line, translate(trim(line, {_STRIP}), '{_AZ}', '{_AZ.lower()}') AS k
+  FROM (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), shared AS (
+  SELECT k, min(doc_id) AS owner FROM lines WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+  SELECT doc_id, pos, line, shared.k IS NOT NULL AND owner <> doc_id AS dropped FROM lines LEFT JOIN shared USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
 @query
 def op8_weighted_fair_mix(spark, sf):
     return mixing.mix_sources(table(spark, sf, "documents"), WEIGHTS)
