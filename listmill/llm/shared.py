@@ -59,8 +59,8 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return column.cast(pa.large_string())
 
 
-def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about ``most`` bytes: first row, end row, bytes, offsets of the texts in them."""
+def text_chunks(column: pa.Array, most: int = 1 << 20, most_rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts, of about ``most`` bytes and at most ``most_rows`` rows: first row, end row, bytes, offsets of the texts in them."""
     rows = len(column)
     if not rows:
         return
@@ -69,7 +69,7 @@ def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
     first = 0
     while first < rows:
         end = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
-        end = min(rows, max(end, first + 1))
+        end = min(rows, first + most_rows, max(end, first + 1))
         yield first, end, data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]
         first = end
 
