@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listmill.llm import line_runs, mixing, near_dup, token_files
+from listmill.llm import line_runs, mixing, near_dup, quality, token_files
 from listmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_perplexity_bands(spark, sf):
+    return quality.judge_quality(table(spark, sf, "documents")).drop("text_hash")
+
+
 @query
 def op2_line_dedup(spark, sf):
     return line_runs.dedup_lines(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
