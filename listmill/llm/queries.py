@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listmill.llm import line_runs, mixing, near_dup, quality, token_files
+from listmill.llm import decontam, line_runs, mixing, near_dup, quality, scoring, token_files
 from listmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id"""
 
 
+@query
+def op4_simhash_decontamination(spark, sf):
+    return decontam.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_hash")
+
+
+@query
+def op5_cross_entropy_difference(spark, sf):
+    """The target are the documents labelled as good and not toxic."""
+    good = table(spark, sf, "labels").filter("quality = 1 AND toxic = 0")
+    return scoring.cross_entropy_difference(table(spark, sf, "documents"), good)
+
+
 @query
 def op6_hyperminhash_near_dup(spark, sf):
     return near_dup.near_duplicates(table(spark, sf, "documents"), k=3, percent=85)
