@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listmill.llm import decontam, line_runs, mixing, near_dup, quality, scoring, token_files
+from listmill.llm import decontam, line_runs, mixing, near_dup, pii, quality, scoring, token_files
 from listmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id"""
 
 
+@query
+def op3_personal_data(spark, sf):
+    return pii.span_digest(pii.find_personal_data(table(spark, sf, "documents")))
+
+
 @query
 def op4_simhash_decontamination(spark, sf):
     return decontam.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_hash")
