@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from listmill.llm import decontam, line_runs, mixing, near_dup, pii, quality, scoring, token_files
+from listmill.llm import decontam, fixity, line_runs, mixing, near_dup, pii, quality, scoring, token_files, url_rules
 from listmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +98,34 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, docume
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)"""
 
 
+@query
+def op7_merkle_fixity(spark, sf):
+    """Two WARC replicas of all pages; the second has lost the last byte of every page whose id leaves 5 by 97."""
+    damage = F.pmod(F.col("page_id"), F.lit(97)) == 5
+    return fixity.audit_pages(table(spark, sf, "pages"), damage).select(
+        F.col("id").cast("long").alias("page_id"), "shard", "status", "first_byte", "n_bytes", "digest_a", "digest_b")
+
+
+_CRLF = "chr(13) || chr(10)"
+ORACLES["op7_merkle_fixity"] = f"""
+WITH shards AS (SELECT greatest(1, ceil(count(*) / {fixity.RECORDS_PER_FILE}))::BIGINT AS n FROM pages),
+records AS (
+  SELECT page_id, page_id % n AS shard, coalesce(html, '') AS body,
+         'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Date: {fixity.DATE}' || {_CRLF}
+         || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_CRLF} || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF}
+         || 'Content-Type: text/html' || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF} AS head
+  FROM pages, shards
+), placed AS (
+  SELECT *, strlen(head) + strlen(body) + 4 AS n_bytes,
+         sum(strlen(head) + strlen(body) + 4) OVER (PARTITION BY shard ORDER BY page_id) - (strlen(head) + strlen(body) + 4) AS first_byte
+  FROM records
+)
+SELECT page_id, shard::INTEGER AS shard, 'changed' AS status, first_byte::BIGINT AS first_byte, n_bytes,
+       sha256(head || body || {_CRLF} || {_CRLF}) AS digest_a,
+       sha256(head || substr(body, 1, length(body) - 1) || CASE WHEN right(body, 1) = '#' THEN '%' ELSE '#' END || {_CRLF} || {_CRLF}) AS digest_b
+FROM placed WHERE page_id % 97 = 5 AND body <> ''"""
+
+
 @query
 def op8_weighted_fair_mix(spark, sf):
     return mixing.mix_sources(table(spark, sf, "documents"), WEIGHTS)
@@ -105,3 +134,48 @@ def op8_weighted_fair_mix(spark, sf):
 @query
 def op9_token_files(spark, sf):
     return token_files.encode_documents(table(spark, sf, "documents"), tokenizer_file())
+
+
+#: The host and path rules of the URL filter.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op10_association_rules(spark, sf):
+    """A page is labelled by the row of its id: bad if of low quality or toxic."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_rules.judge_urls(table(spark, sf, "pages"), labels, URL_RULES).drop("mined_rule", "confidence")
+
+
+ORACLES["op10_association_rules"] = f"""
+WITH parsed AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_AZ}', '{_AZ.lower()}'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), split AS (
+  SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS names FROM parsed
+), tokens AS (
+  SELECT page_id, host, path, CASE WHEN contains(coalesce(url, ''), '://') THEN list_sort(list_distinct(
+    ['scheme=' || translate(regexp_extract(url, '(?s)^(.*?)://', 1), '{_AZ}', '{_AZ.lower()}')]
+    || list_transform(names, lambda x: 'host=' || x)
+    || CASE WHEN len(names) >= 2 THEN ['domain=' || names[-2] || '.' || names[-1]] ELSE [] END
+    || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path=' || regexp_replace(x, '[0-9]+', '0', 'g'))
+    || list_transform(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'query=' || string_split(x, '=')[1])
+  )) ELSE [] END AS t FROM split
+), subsets AS (
+  SELECT page_id, list_filter(t, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS s
+  FROM (SELECT page_id, t, unnest(range(1, (1 << len(t))::BIGINT)) AS mask FROM tokens)
+), known AS (
+  SELECT page_id, coalesce(bool_or(quality = 0 OR toxic = 1), false) AS bad FROM pages JOIN labels ON page_id = doc_id GROUP BY page_id
+), least AS (
+  SELECT ceil(greatest({url_rules.MIN_SUPPORT}, {url_rules.MIN_ROWS} / count(*)) * count(*)) AS rows, count(*) AS n FROM known
+), mined AS (
+  SELECT s FROM subsets JOIN known USING (page_id), least WHERE n >= {url_rules.MIN_ROWS} GROUP BY s, rows
+  HAVING count(*) FILTER (WHERE bad) >= rows AND count(*) FILTER (WHERE bad) / count(*) >= {url_rules.MIN_CONFIDENCE}
+), hit AS (SELECT DISTINCT page_id FROM subsets JOIN mined USING (s)),
+fits AS (
+  SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM tokens,
+    (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) r(h, p, rule, verdict)
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN hit.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM tokens LEFT JOIN fits USING (page_id) LEFT JOIN hit USING (page_id)"""
