@@ -11,8 +11,8 @@ a level are compacted into one of the next level; there are log(batches) runs.
 A line stays if its key is short or owned by its document.  For that the keys that a
 document owns are brought together with its text once, in a join on the id.
 
-Nulls: a null or empty text is one empty line; a null id is one document, behind all
-others.  Rows with the same id are one document to the owner rule.  Lines are kept with
+Nulls: a null or empty text is one empty line; a row with a null id is a document behind
+all others, one with other such rows of its text.  Rows with the same id are one document to the owner rule.  Lines are kept with
 their bytes unchanged.  An empty table gives an empty result.
 """
 
@@ -160,10 +160,9 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, min_points:
     runs = LineRuns(spark, fanout=fanout)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], F.lit(10_000))).first()[0] if batches > 1 else None
     edges = [None, *sorted(set(cuts or [])), None]
-    order = id_order()  # a missing id is in the last batch
     for low, high in zip(edges, edges[1:]):
-        part = docs if low is None else docs.filter(order > low)
-        runs.add(line_keys(part if high is None else part.filter(order <= high), min_points))
+        part = docs if low is None else docs.filter((F.col("doc_id") > low) | F.col("doc_id").isNull())
+        runs.add(line_keys(part if high is None else part.filter(F.col("doc_id") <= high), min_points))  # no id: in the last batch
     owned = written(owned_keys(runs.owners()), "owned-lines")
     runs.drop()
     return drop_seen_lines(docs, owned, min_points)

@@ -114,7 +114,7 @@ def mixed_documents(docs: DataFrame, weights: list[float], share: float = 1.5, e
     plan = mix_sources(docs, weights, share, epochs, seed).filter("taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_words"),
         (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
-    same = (F.col("d.doc_id").eqNullSafe(F.col("_id")) & F.col("d.source").eqNullSafe(F.col("_of"))
-            & (word_count(F.col("d.text")) == F.col("_words")))
-    return docs.alias("d").join(plan, same).select(
-        *[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    same = (F.col("d.doc_id").eqNullSafe(F.col("p._id")) & F.col("d.source").eqNullSafe(F.col("p._of"))
+            & (word_count(F.col("d.text")) == F.col("p._words")))
+    return docs.alias("d").join(plan.alias("p"), same).select(
+        *[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p._times"))).alias("_copy")).select(*[F.col(f"`{c}`") for c in docs.columns])

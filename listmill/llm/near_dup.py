@@ -20,8 +20,8 @@ Hubs with many members are split by a salt; confirming streams sorted rows and h
 hub's set at a time.
 
 Nulls: a null, empty or white-space text has no shingles, is linked with nothing and kept.
-A null id counts as one document behind all others, and gives a null component unless it
-is linked to a real one.  Rows with the same id are one document.  Repeated rows are all
+A row with a null id is a document behind all others, one with other such rows of its text, and
+gives a null component unless it is linked to a real id.  Rows with the same id are one document.  Repeated rows are all
 returned with the same result.  Other columns aren't read.
 """
 
@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listmill.llm.components import components
-from listmill.llm.shared import id_order, partitions, ship, text_chunks, text_column, written
+from listmill.llm.shared import NO_ID, column_name, id_order, partitions, ship, text_chunks, text_column, written
 from listmill.llm.words import LOWER, mix, shingle_hashes, word_hashes
 
 REGISTERS = 320
@@ -43,7 +43,6 @@ MISS = 1e-5
 MARGIN = 0.15  # of the estimate below the threshold: over 7 standard deviations of 320 registers
 ZERO_BITS, MANTISSA_BITS = 6, 10
 BORROWS = 48
-NO_ID = 2**63 - 1
 _EMPTY = np.uint64(2**64 - 1)
 _DOC_BITS = 12  # texts in a chunk, in the upper bits of sort keys
 _LENDERS = (mix(np.arange(REGISTERS * BORROWS, dtype=np.uint64)) % np.uint64(REGISTERS)).astype(np.int64).reshape(BORROWS, REGISTERS)
@@ -259,8 +258,8 @@ def left_over_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, leas
     return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept.
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row a document: doc, n_shingles, component, by the ids that stand in for missing ones.
 
     Documents are linked with 100 * intersection >= percent * union of their sets of k-word shingles, or the
     whole sequence if it has fewer words.  component_id is the smallest id that can be reached; it is kept.
@@ -286,9 +285,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     first = sketch.filter("n > 0").select("doc", "n", "s1", "s2").join(sets, ["s1", "s2"]).select("doc", "n", "first")
     found = written(first.unionByName(sketch.filter("n = 0").select("doc", "n", F.col("doc").alias("first"))), "firsts")
-    out = found.join(labels, F.col("first") == F.col("node"), "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("c"))
+    return found.join(labels, F.col("first") == F.col("node"), "left").select(
+        "doc", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component"))
+
 
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept; see :func:`grouped`."""
     def real(c: str):
-        return F.when(F.col(c) != NO_ID, F.col(c))
+        return F.when(F.col(c) < NO_ID, F.col(c))
+
+    return grouped(docs, k, percent).select(
+        real("doc").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 
-    return out.select(real("doc").alias("doc_id"), "n_shingles", real("c").alias("component_id"), (F.col("doc") == F.col("c")).alias("kept"))
+
+def first_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the first of its group, with all their columns.
+
+    Of several rows of one document the one with the smallest hash of its text stays.
+    """
+    kept = written(grouped(docs, k, percent).filter("doc = component").select(F.col("doc").alias("_kept")).distinct(), "kept")
+    key, place = column_name(docs, "_document"), column_name(docs, "_place")
+    rows = docs.withColumn(key, id_order()).join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    first = Window.partitionBy(key).orderBy(F.xxhash64("text"))
+    return rows.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(key, place)

@@ -74,6 +74,9 @@ def text_chunks(column: pa.Array, most: int = 1 << 20, most_rows: int = 4096) ->
         first = end
 
 
-def id_order(name: str = "doc_id"):
-    """The id for comparisons: a missing id counts as one document behind all others."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(2**63 - 1))
+NO_ID = 1 << 62  # ids from here on stand for rows that have none
+
+
+def id_order(name: str = "doc_id", text: str = "text"):
+    """The id for comparisons.  A row without one is a document behind all others; such rows of one text are one document."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID // 2)))
