@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listmill.llm.shared import ship, text_chunks, text_column, written
+from listmill.llm.shared import ship, text_chunks, text_column, without_rows, written
 from listmill.llm.words import LOWER, mix, shingle_hashes, span_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -251,5 +251,5 @@ def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[tuple[
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    leaks = written(matches(docs, benchmark, similarity).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    leaks = written(matches(docs, benchmark, similarity).select("doc_id", "text_hash").distinct(), "leaks")
+    return without_rows(docs, leaks)

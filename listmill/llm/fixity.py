@@ -55,17 +55,22 @@ def shard_count(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> int:
     return max(1, math.ceil(pages.count() / per_file))
 
 
-def write_replica(records: DataFrame, path: str) -> None:
-    """Write (shard, order columns ..., record) as one file a shard, in the order of the columns between."""
-    order = [c for c in records.columns if c not in ("shard", "record")]
-    (records.repartition(partitions(records.sparkSession), "shard").sortWithinPartitions("shard", *order).select("shard", "record")
-     .write.partitionBy("shard").option("lineSep", END).option("compression", "gzip").text(path))
+def write_replicas(records: DataFrame, copies: dict[str, Column], path: str) -> None:
+    """Write (shard, page_id, record, ...) as one file a shard below ``path/replica=<name>``, in the order of page_id, then record.
+
+    ``copies`` has each replica's record by its name.  Rows are shuffled once; the copies are made behind the shuffle.
+    """
+    dealt = records.repartition(partitions(records.sparkSession), "shard")
+    made = F.explode(F.array(*[F.struct(F.lit(name).alias("replica"), text.alias("record")) for name, text in copies.items()]))
+    (dealt.select("shard", "page_id", made.alias("copy")).select("copy.replica", "shard", "page_id", "copy.record")
+     .sortWithinPartitions("replica", "shard", "page_id", "record").select("replica", "shard", "record")
+     .write.partitionBy("replica", "shard").option("lineSep", END).option("compression", "gzip").text(path))
 
 
 def page_records(pages: DataFrame, shards: int) -> DataFrame:
-    """shard, page_id, url, html, record."""
-    return pages.select(F.coalesce(F.pmod(F.col("page_id"), F.lit(shards)), F.lit(0)).cast("int").alias("shard"), "page_id", "url", "html").withColumn(
-        "record", record_text(F.col("page_id"), F.col("url"), F.col("html")))
+    """shard, page_id, record, and whether the page has a body."""
+    return pages.select(F.coalesce(F.pmod(F.col("page_id"), F.lit(shards)), F.lit(0)).cast("int").alias("shard"), "page_id",
+                        record_text(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), (F.octet_length(F.coalesce("html", F.lit(""))) > 0).alias("full"))
 
 
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[str, int, bytes]]:
@@ -186,11 +191,10 @@ def audit_pages(pages: DataFrame, damage: Column, per_file: int = RECORDS_PER_FI
     """Write ``pages`` as two replicas, the second with the record's last byte of pages where ``damage`` holds replaced, and audit them."""
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    records = page_records(pages, shard_count(pages, per_file))
-    paths = work_dir(spark, "warc-a"), work_dir(spark, "warc-b")
-    write_replica(records, paths[0])
+    records = page_records(pages, shard_count(pages, per_file)).withColumn("broken", F.coalesce(damage, F.lit(False)) & F.col("full"))
     text = F.col("record")
     last = F.when(F.right(text, F.lit(1)) == "#", "%").otherwise("#")
-    broken = F.when(damage & (F.octet_length(F.coalesce("html", F.lit(""))) > 0), F.concat(F.substring(text, F.lit(1), F.length(text) - 1), last)).otherwise(text)
-    write_replica(records.withColumn("record", broken), paths[1])
-    return compare_replicas(spark, *paths)
+    copies = {"a": text, "b": F.when(F.col("broken"), F.concat(F.substring(text, F.lit(1), F.length(text) - 1), last)).otherwise(text)}
+    path = work_dir(spark, "warc")
+    write_replicas(records, copies, path)
+    return compare_replicas(spark, f"{path}/replica=a", f"{path}/replica=b")

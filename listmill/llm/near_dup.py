@@ -41,6 +41,7 @@ from listmill.llm.words import LOWER, mix, shingle_hashes, word_hashes
 REGISTERS = 320
 MISS = 1e-5
 MARGIN = 0.15  # of the estimate below the threshold: over 7 standard deviations of 320 registers
+LEFT_OVER_MARGIN = 0.09  # the same for pairs between a group's components: over 4 of them
 ZERO_BITS, MANTISSA_BITS = 6, 10
 BORROWS = 48
 _EMPTY = np.uint64(2**64 - 1)
@@ -150,10 +151,10 @@ def register_rows(column: pa.Array) -> np.ndarray:
 
 
 def band_members(nodes: DataFrame, rows: int) -> DataFrame:
-    """(band, doc): one row for each band of each node."""
+    """(band, band_no, doc): one row for each band of each node."""
     count, width = REGISTERS // rows, 2 * rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(count)])
-    return nodes.select(F.explode(bands).alias("band"), "doc")
+    return nodes.select(F.posexplode(bands).alias("band_no", "band"), "doc").select("band", "band_no", "doc")
 
 
 def passing_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -214,33 +215,35 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, salts: in
     return rows.mapInArrow(confirm, "a bigint, b bigint").distinct()
 
 
-def left_over_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, least: float, block: int = 512) -> DataFrame:
+def left_over_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, rows: int, similarity: float, block: int = 4096) -> DataFrame:
     """(a, b) of band groups in different components that pass the estimate; at least one is in another than the hub's.
 
     Members outside the hub's component are dealt to blocks, and each block meets the group's members block by block.
+    A pair is looked at in the first band that it shares, so once.
     """
-    own = groups.join(labels, F.col("doc") == F.col("node"), "left").select("band", "doc", "hub", F.coalesce("component", "doc").alias("part"))
+    count = REGISTERS // rows
+    own = groups.join(labels, F.col("doc") == F.col("node"), "left").select("band", "band_no", "doc", "hub", F.coalesce("component", "doc").alias("part"))
     hubs = labels.select(F.col("node").alias("_node"), F.col("component").alias("_part"))
     marked = written(own.join(hubs, F.col("hub") == F.col("_node"), "left").select(
-        "band", "doc", "part", (F.col("part") != F.coalesce("_part", "hub")).alias("minor")), "left-over")
+        "band", "band_no", "doc", "part", (F.col("part") != F.coalesce("_part", "hub")).alias("minor")), "left-over")
     sizes = marked.groupBy("band").agg(F.count("*").alias("size"), F.sum(F.col("minor").cast("int")).alias("minors")).filter("minors > 0")
     sizes = written(sizes.select("band", F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil(F.col("minors") / block).cast("int").alias("minor_blocks")), "left-over-sizes")
     known = marked.join(sizes, "band").join(nodes.select("doc", "n", "registers"), "doc")
     slot = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks"))
     minor_slot = F.pmod(F.xxhash64("doc", F.lit(11)), F.col("minor_blocks"))
-    columns = ["band", "i", "j", "role", "doc", "n", "part", "registers"]
+    columns = ["band", "i", "j", "role", "doc", "n", "part", "band_no", "registers"]
     left = known.filter("minor").withColumn("i", minor_slot).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = known.withColumn("j", slot).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)))
-    rows = left.withColumn("role", F.lit(0)).select(*columns).union(right.withColumn("role", F.lit(1)).select(*columns))
-    rows = rows.repartition(partitions(nodes.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j", "role")
+    cells = left.withColumn("role", F.lit(0)).select(*columns).union(right.withColumn("role", F.lit(1)).select(*columns))
+    cells = cells.repartition(partitions(nodes.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 5, 6))))
-            registers = register_rows(batch.column(7))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(8))))
+            registers = register_rows(batch.column(8))
             found: set[tuple[int, int]] = set()
-            for row, (band, i, j, role, doc, n, part) in enumerate(keys):
+            for row, (band, i, j, role, doc, n, part, band_no) in enumerate(keys):
                 if (band, i, j) != cell:
                     cell, held, stack = (band, i, j), [], None
                 if role == 0:
@@ -250,12 +253,15 @@ def left_over_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, leas
                     if stack is None:
                         docs_, n_, part_ = (np.array([h[c] for h in held]) for c in (0, 1, 2))
                         stack = np.stack([h[3] for h in held])
-                    equal = (stack == registers[row]).sum(axis=1)
-                    keep = (estimate(equal, n_, np.full(len(n_), n)) >= least) & (part_ != part)
+                    same = stack == registers[row]
+                    shared = same[:, :count * rows].reshape(len(same), count, rows).all(axis=2)
+                    keep = (shared.argmax(axis=1) == band_no) & (part_ != part)
+                    keep &= np.minimum(n_, n) >= similarity * np.maximum(n_, n)  # sets of more unequal sizes can't be linked
+                    keep[keep] = estimate(same[keep].sum(axis=1), n_[keep], np.full(keep.sum(), n)) >= similarity - LEFT_OVER_MARGIN
                     found.update((min(d, doc), max(d, doc)) for d in docs_[keep].tolist())
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return cells.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -266,20 +272,20 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, least = band_rows(percent / 100), percent / 100 - MARGIN
+    rows, similarity = band_rows(percent / 100), percent / 100
     sketch = written(sketch_documents(docs, k), "sketches")
     sets = written(sketch.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("first")), "sets")
     nodes = written(sketch.join(sets, (F.col("doc") == F.col("first")) & (sketch["s1"] == sets["s1"]) & (sketch["s2"] == sets["s2"]))
                     .select("doc", "n", "registers"), "nodes")
     hubs = written(band_members(nodes, rows).groupBy("band").agg(F.min("doc").alias("hub"), F.max("doc").alias("_last"))
                    .filter("_last > hub").select("band", "hub"), "bands")
-    groups = written(band_members(nodes, rows).join(hubs, "band").select("band", "hub", "doc"), "groups")
+    groups = written(band_members(nodes, rows).join(hubs, "band").select("band", "band_no", "hub", "doc"), "groups")
     texts = docs.select(id_order().alias("doc"), "text")
 
     stars = groups.filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    links = written(confirmed(passing_pairs(stars, nodes, least), texts, k, percent), "links")
+    links = written(confirmed(passing_pairs(stars, nodes, similarity - MARGIN), texts, k, percent), "links")
     labels = components(links)
-    more = written(confirmed(left_over_pairs(groups, nodes, labels, least), texts, k, percent), "links")
+    more = written(confirmed(left_over_pairs(groups, nodes, labels, rows, similarity), texts, k, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -303,8 +309,8 @@ def first_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Of several rows of one document the one with the smallest hash of its text stays.
     """
-    kept = written(grouped(docs, k, percent).filter("doc = component").select(F.col("doc").alias("_kept")).distinct(), "kept")
+    kept = written(grouped(docs, k, percent).filter("doc = component").select("doc").distinct(), "kept")
     key, place = column_name(docs, "_document"), column_name(docs, "_place")
-    rows = docs.withColumn(key, id_order()).join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    rows = docs.withColumn(key, id_order()).alias("d").join(kept.alias("k"), F.col(f"d.{key}") == F.col("k.doc"), "left_semi")
     first = Window.partitionBy(key).orderBy(F.xxhash64("text"))
     return rows.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(key, place)

@@ -6,10 +6,11 @@ Tasks count their n-grams in sorted arrays and pass on partial counts; all count
 continuation counts, discounts and interpolated probabilities are made by Spark.
 
 Models are kept apart by a group (a language, or target and background).  A level keeps
-the n-grams that have at least ``share`` of all counts of the level, over all groups.
-At most 1/share n-grams can have that share, so a stored model has at most order/share
-entries of 16 bytes, whatever the corpus; that is what is sent to the driver and
-broadcast.  Others back off, with the weights of the full counts.
+the n-grams that have at least ``share`` of all counts of the level, over all groups, and
+those that are the contexts of such a share of the next level's counts.  At most 1/share
+can be either, so a stored model has at most 2 * order/share entries of 16 bytes, whatever
+the corpus; that is what is sent to the driver and broadcast.  Others back off, with the
+weights of the full counts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from listmill.llm.shared import ship, text_chunks, text_column, written
 from listmill.llm.words import mix
 
-SHARE = 2.0**-20
+SHARE = 2.0**-18
+LEAST_WEIGHT = 1e-9  # of backing off, so that nothing is impossible
 FLUSH = 1 << 21  # distinct n-grams a task holds before it passes them on
 #: Discounts for a level with too few counts to estimate them.
 PLAIN_DISCOUNTS = (0.5, 1.0, 1.5)
@@ -118,13 +120,13 @@ def kneser_ney(counts: DataFrame, order: int, bits: int, symbols: int, share: fl
     levels = {order: written(counts, "ngrams")}
     for n in range(order - 1, 0, -1):
         levels[n] = written(levels[n + 1].groupBy("grp", low(n).alias("gram")).agg(F.count("*").alias("c")), "ngrams")
-    lower, stored, weights = None, [], {}
+    lower, stored, weights, least = None, {}, {}, {}
     for n in range(1, order + 1):
         taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = levels[n].join(_discounts(levels[n]), "grp").select(
             "grp", "gram", "c", taken.alias("d"), F.shiftright("gram", bits).alias("context"), low(n - 1).alias("suffix"))
         contexts = written(level.groupBy("grp", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("held")).select(
-            "grp", "context", "total", (F.col("held") / F.col("total")).alias("gamma")), "contexts")
+            "grp", "context", "total", F.greatest(F.col("held") / F.col("total"), F.lit(LEAST_WEIGHT)).alias("gamma")), "contexts")
         weights[n] = contexts
         level = level.join(contexts, ["grp", "context"])
         if lower is None:
@@ -134,19 +136,17 @@ def kneser_ney(counts: DataFrame, order: int, bits: int, symbols: int, share: fl
             rest = F.col("_rest")
         level = level.select("grp", "gram", "c", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * rest).alias("p"))
         lower = written(level, "levels")
-        least = (lower.agg(F.sum("c")).first()[0] or 0) * share
-        stored.append(lower.filter(F.col("c") >= least).select("grp", F.lit(n).alias("n"), "gram", "p"))
-    out = None
-    for n, rows in enumerate(stored, 1):
-        if n < order:
-            back = weights[n + 1].select("grp", F.col("context").alias("gram"), "gamma")
-            rows = rows.join(back, ["grp", "gram"], "left")
-        else:
-            rows = rows.withColumn("gamma", F.lit(1.0))
-        rows = rows.select("grp", "n", "gram", F.log("p").cast("float").alias("logp"), F.log(F.coalesce("gamma", F.lit(1.0))).cast("float").alias("backoff"))
-        out = rows if out is None else out.union(rows)
-    empty = weights[1].select("grp", F.lit(0).alias("n"), F.lit(0).cast("long").alias("gram"), F.lit(-np.log(symbols)).cast("float").alias("logp"), F.log("gamma").cast("float").alias("backoff"))
-    return out.union(empty)
+        least[n] = (lower.agg(F.sum("c")).first()[0] or 0) * share
+        stored[n] = lower.select("grp", "gram", "c", "p")
+    out = weights[1].select("grp", F.lit(0).alias("n"), F.lit(0).cast("long").alias("gram"),
+                            F.lit(-np.log(symbols)).cast("float").alias("logp"), F.log("gamma").cast("float").alias("backoff"))
+    for n, rows in stored.items():
+        keep, gamma = F.col("c") >= least[n], F.lit(1.0)
+        if n < order:  # contexts that begin before the text are no n-grams of their level, but have a weight
+            rows = rows.join(weights[n + 1].select("grp", F.col("context").alias("gram"), "gamma", "total"), ["grp", "gram"], "full")
+            keep, gamma = F.coalesce(keep, F.lit(False)) | (F.coalesce("total", F.lit(0)) >= least[n + 1]) & F.col("total").isNotNull(), F.coalesce("gamma", F.lit(1.0))
+        out = out.union(rows.filter(keep).select("grp", F.lit(n).alias("n"), "gram", F.log("p").cast("float").alias("logp"), F.log(gamma).cast("float").alias("backoff")))
+    return out
 
 
 class HashArray:
@@ -194,7 +194,7 @@ class Model:
             own = grams[left] & np.uint64((1 << self.bits * n) - 1)
             if n in self.levels:
                 at = self.levels[n].find(own)
-                hit = at >= 0
+                hit = (at >= 0) & ~np.isnan(self.levels[n].logp[at])
                 out[left[hit]] = weight[hit] + self.levels[n].logp[at[hit]]
                 left, weight, own = left[~hit], weight[~hit], own[~hit]
             if n == 1:
@@ -209,14 +209,19 @@ class Model:
 
 
 def load_models(rows: DataFrame, order: int, bits: int, symbols: int) -> dict[str, Model]:
-    """The stored model of every group on the driver: at most order/share entries."""
-    got = rows.toPandas()
+    """The stored model of every group on the driver: at most 2 * order/share entries."""
+    got = rows.toArrow().combine_chunks()
+    names = got["grp"].combine_chunks().dictionary_encode()
+    group, level, gram, logp, backoff = (x.to_numpy(zero_copy_only=False) for x in (names.indices, *(got[c].combine_chunks() for c in ("n", "gram", "logp", "backoff"))))
     models = {}
-    for grp, part in got.groupby("grp"):
-        levels = {n: HashArray(x["gram"].to_numpy(), x["logp"].to_numpy(), x["backoff"].to_numpy()) for n, x in part[part["n"] > 0].groupby("n")}
-        model = Model(levels, order, bits, -float(np.log(symbols)))
-        model.empty = float(part.loc[part["n"] == 0, "backoff"].iloc[0])
-        models[grp] = model
+    for i, grp in enumerate(names.dictionary.to_pylist()):
+        levels = {}
+        for n in range(1, order + 1):
+            own = np.flatnonzero((group == i) & (level == n))
+            if len(own):
+                levels[n] = HashArray(gram[own], logp[own], backoff[own])
+        models[grp] = Model(levels, order, bits, -float(np.log(symbols)))
+        models[grp].empty = float(backoff[np.flatnonzero((group == i) & (level == 0))[0]])
     return models
 
 

@@ -80,3 +80,9 @@ NO_ID = 1 << 62  # ids from here on stand for rows that have none
 def id_order(name: str = "doc_id", text: str = "text"):
     """The id for comparisons.  A row without one is a document behind all others; such rows of one text are one document."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID // 2)))
+
+
+def without_rows(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't in ``out`` (doc_id, text_hash), with all their columns, whatever their names."""
+    same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.xxhash64("d.text") == F.col("o.text_hash"))
+    return docs.alias("d").join(out.select("doc_id", "text_hash").alias("o"), same, "left_anti")
