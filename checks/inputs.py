@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listmill.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,7 +58,7 @@ def select(text: str, source: str) -> str:
 
 
 def listings(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").selectExpr(*split_list(LISTINGS))
+    return table(spark, sf, "documents").select("doc_id", "text").selectExpr(*split_list(LISTINGS))
 
 
 # -- feed items: what each source delivers ---------------------------------------
@@ -172,7 +171,7 @@ CASE page_id % 11 WHEN 0 THEN 'https://boards.greenhouse.io/acme/jobs/' || CAST(
 
 
 def board_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "pages"), "page_id").selectExpr(*split_list(BOARD_PAGES))
+    return table(spark, sf, "pages").selectExpr(*split_list(BOARD_PAGES))
 
 
 def job_pages(spark: SparkSession, sf: str) -> DataFrame:

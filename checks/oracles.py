@@ -267,7 +267,8 @@ ORACLES: dict[str, str] = {
     "is_job_link": with_(LINKS, f"SELECT page_id, CASE WHEN link IS NOT NULL THEN {S.job_rule('host', 'p')} END AS rule FROM f"),
     "same_site": with_(LINKS, f"""SELECT page_id, {S.same_site(f"lower({S.netloc('url')})", 'host')} AS same_site FROM f
         WHERE link IS NOT NULL"""),
-    "job_links": with_([BOARD_PAGES, *S.link_ctes("board_pages", "k", 6)], "SELECT page_id, pos, link FROM k"),
+    "job_links": with_([BOARD_PAGES, *S.link_ctes("board_pages", "k", 80)], "SELECT page_id, pos, link FROM k"),
+    "job_links_limited": with_([BOARD_PAGES, *S.link_ctes("board_pages", "k", 2)], "SELECT page_id, pos, link FROM k"),
     "next_page": with_(BOARDS, f"SELECT page_id, {S.next_page('v', 'url')} AS next_url FROM seen WHERE contains(v, '>Next</a>')"),
     "parse_keywords": with_([LISTINGS, ("p", rf"""SELECT listing_id, unnest(string_split_regex(x, '[,;\n]+')) AS w,
         unnest(range(1, len(string_split_regex(x, '[,;\n]+')) + 1)) AS ix FROM (SELECT listing_id, {SINGLE_KEYWORDS} AS x FROM listings)"""),
@@ -333,7 +334,7 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY {S.key('url')} ORDER BY priority, listing_id) = 1)
         ORDER BY priority, listing_id LIMIT 200"""),
     "rank_title_hit": with_([LISTINGS], f"""SELECT listing_id, title FROM listings
-        ORDER BY CASE WHEN {_hits(split_keywords(KEYWORDS))} THEN 0 ELSE 1 END, lower(title), listing_id LIMIT 300"""),
+        ORDER BY CASE WHEN {_hits(split_keywords(KEYWORDS))} THEN 0 ELSE 1 END, lower(title), listing_id"""),
     "search_feeds": search_sql(),
     "fill_remaining": with_([LISTINGS, *BOARDS, ("u", f"""SELECT 1 AS tier, source, listing_id, url FROM (
         SELECT * FROM listings WHERE {S.any_of("lower(company)", V.PLATFORMS)} AND url <> ''
@@ -365,7 +366,8 @@ ORACLES: dict[str, str] = {
     "status_counts": with_([*STATE, REVIEWS, FOLDED, REVIEWED], """SELECT count(*) FILTER (status = 'saved') AS approved,
         count(*) FILTER (status <> 'deleted') AS visible FROM reviewed"""),
     "run_outcome": with_([LISTINGS, ("g", """SELECT source AS run_id, count(*) FILTER (url <> '') AS collected,
-        count(*) FILTER (url = '') AS failed, 250 AS target FROM listings GROUP BY source"""), ("o", """SELECT *, collected = 0 AS zero,
+        count(*) FILTER (url = '') AS failed, 250 AS target FROM listings GROUP BY source
+        UNION ALL SELECT DISTINCT source || ':none', 0, 0, 250 FROM listings"""), ("o", """SELECT *, collected = 0 AS zero,
         collected < target AS short, CASE WHEN collected = 0 AND failed > 0 THEN
         'Search failed — no contract jobs collected (' || failed || ' source error(s)).'
         WHEN collected = 0 THEN 'No matching contract jobs found. Try different keywords or board URLs.'

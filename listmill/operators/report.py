@@ -42,14 +42,17 @@ def outcome_columns(got: Column, failed: Column, target: Column) -> dict[str, Co
     return {"zero": zero, "short": short, "error": error, "message": F.when(zero | short, error).otherwise(done)}
 
 
-def run_outcome(rows: DataFrame, failed: DataFrame, target: int, by: str = "run_id") -> DataFrame:
-    """One row per run: collected, failed, error text and message."""
+def run_outcome(runs: DataFrame, rows: DataFrame, failed: DataFrame, by: str = "run_id") -> DataFrame:
+    """One row for each of ``runs`` (run_id, target): collected, failed, error text and message.
+
+    A run that collected nothing and failed nowhere has an outcome too.
+    """
     got = rows.groupBy(by).agg(F.count("*").alias("collected"))
     bad = failed.groupBy(by).agg(F.count("*").alias("failed"))
-    both = got.join(bad, by, "full_outer").select(
+    counts = runs.select(by, "target").join(got, by, "left").join(bad, by, "left").select(
         by, F.coalesce("collected", F.lit(0)).alias("collected"), F.coalesce("failed", F.lit(0)).alias("failed"),
-        F.lit(target).cast("bigint").alias("target"))
-    return both.select("*", *[v.alias(k) for k, v in outcome_columns(
+        F.col("target").cast("bigint").alias("target"))
+    return counts.select("*", *[v.alias(k) for k, v in outcome_columns(
         F.col("collected"), F.col("failed"), F.col("target")).items()])
 
 

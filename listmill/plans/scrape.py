@@ -67,6 +67,8 @@ def scrape(boards: DataFrame, pages: DataFrame, robots: DataFrame, keywords: Seq
     landed pages.  Fetch and page caps follow the target.  All rows are decided
     with narrow columns; only the at most ``n`` winners are parsed into listings.
     """
+    if n > V.MAX_TARGET:  # the caps of a run end there; see caps()
+        raise ValueError(f"A run collects at most {V.MAX_TARGET} listings")
     cap = caps(n)
     rules = crawl_rules(robots)
     seeds = board_seeds(boards).select("board", F.col("url").alias("board_url"))

@@ -1,4 +1,4 @@
-"""Session defaults, the shared work folder, and size-aware scans."""
+"""Session defaults and the shared work folder."""
 
 from __future__ import annotations
 
@@ -27,12 +27,16 @@ def build_session(master: str | None = None, cores: int | None = None, memory: s
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
+    """A fresh folder in the shared folder that the cluster names.
 
-    Only where the cluster names none (tests, local runs) a temporary folder is set.
+    That is ``spark.checkpoint.dir``, or else what ``setCheckpointDir`` was given.  A local master may do
+    without: one temporary folder is then set for the session.  On a cluster it is an error to have none, as
+    executors don't see each other's local folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/listmill/{name}-{uuid.uuid4().hex}"
@@ -52,15 +56,3 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of a plan's output, from file statistics."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input too small to be split; larger inputs are left as they are.
-
-    A file with one row group is one task.  The size comes from the scan's file
-    statistics; from one split per core upwards nothing is shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores, key) if estimated_bytes(df) < cores * split else df
