@@ -192,6 +192,9 @@ def scrape_ctes() -> list[tuple[str, str]]:
             WHERE e.page_id IS NOT NULL AND (x.f IS NULL OR {{'b': e.board, 'h': e.hop, 'p': e.pos}} <= x.f)
             UNION ALL SELECT board, hop, 0, NULL, false, NULL, board_url FROM visits)
             ORDER BY board, hop, pos LIMIT {cap['max_fetches']}"""),
+        ("finish", f"""SELECT CASE WHEN count(*) FILTER (accept) >= {SCRAPE_TARGET}
+            THEN (SELECT {{'b': board, 'h': hop, 'p': pos}} FROM fetches WHERE accept ORDER BY board, hop, pos LIMIT 1 OFFSET {SCRAPE_TARGET - 1})
+            WHEN count(*) >= {cap['max_fetches']} THEN max({{'b': board, 'h': hop, 'p': pos}}) END AS e FROM fetches"""),
     ]
 
 
@@ -355,10 +358,14 @@ ORACLES: dict[str, str] = {
     "board_scrape": with_([*WON, *page_listing_ctes("won_seen", "pl", "url_host")],
         f"""SELECT h.board, h.hop, h.pos, {', '.join('h.host AS source_board' if c == 'source_board' else f'p.{c}' for c in V.LISTING_FIELDS)}
         FROM pl p JOIN won_host h ON p.page_id = h.page_id"""),
-    "scrape_fetches": with_(SCRAPE, "SELECT board, hop, pos, key, accept FROM fetches"),
-    "scrape_failures": with_(SCRAPE, """SELECT board_url AS url, 'Blocked by robots.txt' AS error FROM boards WHERE NOT allowed
-        UNION ALL SELECT board_url, 'page has not landed' FROM boards WHERE allowed AND key NOT IN (SELECT key FROM landed)
-        UNION ALL SELECT link, 'page has not landed' FROM events WHERE page_id IS NULL"""),
+    "scrape_fetches": with_(SCRAPE, """SELECT board, hop, pos, key, accept FROM fetches, finish
+        WHERE e IS NULL OR {'b': board, 'h': hop, 'p': pos} <= e"""),
+    "scrape_failures": with_(SCRAPE, """SELECT board_url AS url, 'Blocked by robots.txt' AS error FROM boards, finish
+        WHERE NOT allowed AND (e IS NULL OR {'b': board, 'h': 0, 'p': 0} <= e)
+        UNION ALL SELECT board_url, 'page has not landed' FROM boards, finish
+        WHERE allowed AND key NOT IN (SELECT key FROM landed) AND (e IS NULL OR {'b': board, 'h': 0, 'p': 0} <= e)
+        UNION ALL SELECT link, 'page has not landed' FROM events, finish
+        WHERE page_id IS NULL AND (e IS NULL OR {'b': board, 'h': hop, 'p': pos} <= e)"""),
     "queue_page": with_([*STATE, ("v", """SELECT id, title, status, created_at, row_number() OVER (ORDER BY created_at, id) AS position,
         count(*) OVER () AS total FROM state WHERE status <> 'deleted'""")], "SELECT * FROM v WHERE position = least(58, total)"),
     "queue_positions": with_(STATE, """SELECT id, status, created_at, row_number() OVER (ORDER BY created_at, id) AS position,

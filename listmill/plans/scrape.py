@@ -59,11 +59,22 @@ def _visits(boards: DataFrame, parsed: DataFrame, max_pages: int) -> DataFrame:
         "board", "board_url", "hop", links.alias("links"))
 
 
+def _end(spent: DataFrame, winners: DataFrame, cap: dict[str, int]):
+    """The place at which a run ends: its last accept if it has enough, or the fetch that uses up the budget; None if neither."""
+    last = F.max(F.struct(*ORDER)).alias("last")
+    won = winners.agg(F.count("*").alias("n"), last).first()
+    if won["n"] >= cap["target"]:
+        return won["last"]
+    fetched = spent.agg(F.count("*").alias("n"), last).first()
+    return fetched["last"] if fetched["n"] >= cap["max_fetches"] else None
+
+
 def scrape(boards: DataFrame, pages: DataFrame, robots: DataFrame, keywords: Sequence[str], n: int,
            now: Column | None = None) -> Scraped:
     """Walk boards in order, follow job links, keep contract listings until ``n`` are found.
 
-    ``boards`` has ``board`` (its place in the order) and ``url``; ``pages`` are
+    The run ends with the ``n``-th listing or with its fetch budget; fetches and failures behind that
+    place aren't part of it.  ``boards`` has ``board`` (its place in the order) and ``url``; ``pages`` are
     landed pages.  Fetch and page caps follow the target.  All rows are decided
     with narrow columns; only the at most ``n`` winners are parsed into listings.
     """
@@ -97,6 +108,14 @@ def scrape(boards: DataFrame, pages: DataFrame, robots: DataFrame, keywords: Seq
     fetches = due.select(*page_fetches.columns).unionByName(page_fetches)
     spent = cut_lineage(top_rows(fetches, ORDER, cap["max_fetches"]), "fetches")
     winners = spent.where("accept").orderBy(*ORDER).limit(cap["target"])
+    end = _end(spent, winners, cap)
+
+    def reached(*place: Column) -> Column:
+        return F.lit(True) if end is None else F.struct(*place) <= F.struct(*[F.lit(end[c]).alias(c) for c in ORDER])
+
+    spent = spent.where(reached(*map(F.col, ORDER)))
+    seeds, open_seeds = (df.where(reached(F.col("board"), F.lit(0).alias("hop"), F.lit(0).alias("pos"))) for df in (seeds, open_seeds))
+    events = events.where(reached(*map(F.col, ORDER)))
 
     # At most max_fetches rows, which the caps hold at 400: small enough to broadcast.
     bodies = pages.join(F.broadcast(winners.select("page_id", "board_url", *ORDER)), "page_id")
