@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from listmill.functions.text import contains_any
 from listmill.functions.urls import url_key
 from listmill.operators.slices import with_position
-from listmill.session import cut_lineage, estimated_bytes
+from listmill.session import cut_lineage
 
 DEDUPED_SOURCES = ["remotive.com", "jobicy.com"]
 
@@ -49,24 +49,24 @@ def unseen(df: DataFrame, seen: DataFrame) -> DataFrame:
     return df.withColumn("_key", url_key(F.col("url"))).join(keys, "_key", "left_anti").drop("_key")
 
 
-# A plain top-k sends k rows of every task to one task.  Fine for hundreds of
-# tasks; above this size an extra level keeps the last step small.
-_TREE_BYTES = 64 << 30
-_TREE_WIDTH = 1000
+_TREE_WIDTH = 1000  # buckets of tasks, each cut to n rows before the last step
 
 
 def _tree_top(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """At most ``n`` rows of each of many buckets of tasks, cut in the tasks before the shuffle."""
+    """At most ``n`` rows of each of many buckets of tasks."""
     w = Window.partitionBy("_bucket").orderBy(*order)
     return df.withColumn("_bucket", F.spark_partition_id() % _TREE_WIDTH).withColumn(
         "_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_bucket", "_rn")
 
 
 def top_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows in an order; never a global sort.  Pass narrow rows."""
-    if estimated_bytes(df) > _TREE_BYTES:
-        df = _tree_top(df, order, n)
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows in an order; never a global sort.  Pass narrow rows.
+
+    One plan at all sizes: a plain top-k sends ``n`` rows of every task to one task, so buckets of tasks are cut
+    first.  Up to Spark's window group limit (1,000 rows by default) tasks cut theirs before the shuffle; for
+    a larger ``n`` the buckets are cut behind it.
+    """
+    return _tree_top(df, order, n).orderBy(*order).limit(n)
 
 
 def quota(df: DataFrame, n: int, order: Sequence[str] = ("pass", "priority", "payload_id", "pos")) -> DataFrame:
@@ -74,17 +74,12 @@ def quota(df: DataFrame, n: int, order: Sequence[str] = ("pass", "priority", "pa
     return top_rows(df, order, n)
 
 
-def first_distinct(df: DataFrame, key: str, order: Sequence[str], n: int, ahead: int = 4) -> DataFrame:
-    """The first ``n`` distinct keys in ``order``: dedup and quota in one, exact at any size.
+def first_distinct(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` distinct keys in ``order``: dedup and quota in one.  Pass narrow rows.
 
-    Looks at the first ``ahead * n`` rows (a small top-k).  If they hold ``n``
-    keys, or are all there is, they hold the answer and nothing is shuffled.
-    Otherwise all rows are deduplicated.  Pass narrow rows.
+    Tasks send one row a key, so a key with a third of all rows is cheap.
     """
-    head = cut_lineage(top_rows(df, order, ahead * n), "head")
-    sizes = head.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys")).first()
-    whole = sizes["rows"] < ahead * n or sizes["keys"] >= n
-    return cut_lineage(top_rows(first_per(head if whole else df, [key], order), order, n), "winners")
+    return cut_lineage(top_rows(first_per(df, [key], order), order, n), "winners")
 
 
 def rank_hits(df: DataFrame, keywords: Sequence[str], tie: Sequence[str] = ("id",)) -> DataFrame:

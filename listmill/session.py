@@ -51,8 +51,3 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan's output, from file statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

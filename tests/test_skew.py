@@ -123,5 +123,5 @@ def test_batch_with_one_hot_key_folds_to_one_row(spark):
 
 def test_tree_top_keeps_the_first_rows(spark):
     df = spark.range(0, 5000, 1, 8).select((F.col("id") * 7919 % 5000).alias("o"))
-    got = sorted(r.o for r in rank._tree_top(df, ["o"], 30).orderBy("o").limit(30).collect())
+    got = sorted(r.o for r in rank.top_rows(df, ["o"], 30).collect())
     assert got == list(range(30))
