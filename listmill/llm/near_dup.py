@@ -19,6 +19,10 @@ what passes the estimate is confirmed too.  So no pair that shares a band is lef
 Hubs with many members are split by a salt; confirming streams sorted rows and holds one
 hub's set at a time.
 
+Only documents that share a band are read again: their registers and texts are taken
+out once and serve all later steps.  Joins of tables that grow with the documents are
+merge joins at every size.
+
 Nulls: a null, empty or white-space text has no shingles, is linked with nothing and kept.
 A row with a null id is a document behind all others, one with other such rows of its text, and
 gives a null component unless it is linked to a real id.  Rows with the same id are one document.  Repeated rows are all
@@ -170,7 +174,7 @@ def passing_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame
                 keep = estimate(equal, part.column(2).to_numpy(), part.column(3).to_numpy()) >= least
                 yield part.select([0, 1]).filter(pa.array(keep))
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+    joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
     return joined.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -187,12 +191,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, salts: in
     """The (a, b), of ``docs`` (doc, text), with 100 * intersection >= percent * union on the full sets.
 
     Rows of a hub ``a`` are dealt to ``salts`` parts; each part gets the hub's text once, sorted before its members.
+    Hubs and members meet the texts in one join, so the texts are dealt once.
     """
     salted = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")), "pairs")
-    members = salted.join(docs, F.col("b") == F.col("doc")).select("a", "salt", F.lit(1).alias("role"), "b", "text")
-    hubs = salted.select("a", "salt").distinct().join(docs, F.col("a") == F.col("doc")).select(
-        "a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
-    rows = members.unionByName(hubs).repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
+    members = salted.select("a", "salt", F.lit(1).alias("role"), "b")
+    hubs = salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b")).distinct()
+    rows = members.unionByName(hubs).join(docs.hint("merge"), F.col("b") == F.col("doc")).select("a", "salt", "role", "b", "text").repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_sets = None, []
@@ -228,7 +232,7 @@ def left_over_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, rows
         "band", "band_no", "doc", "part", (F.col("part") != F.coalesce("_part", "hub")).alias("minor")), "left-over")
     sizes = marked.groupBy("band").agg(F.count("*").alias("size"), F.sum(F.col("minor").cast("int")).alias("minors")).filter("minors > 0")
     sizes = written(sizes.select("band", F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil(F.col("minors") / block).cast("int").alias("minor_blocks")), "left-over-sizes")
-    known = marked.join(sizes, "band").join(nodes.select("doc", "n", "registers"), "doc")
+    known = marked.join(sizes, "band").join(nodes.select("doc", "n", "registers").hint("merge"), "doc")
     slot = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks"))
     minor_slot = F.pmod(F.xxhash64("doc", F.lit(11)), F.col("minor_blocks"))
     columns = ["band", "i", "j", "role", "doc", "n", "part", "band_no", "registers"]
@@ -275,12 +279,14 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows, similarity = band_rows(percent / 100), percent / 100
     sketch = written(sketch_documents(docs, k), "sketches")
     sets = written(sketch.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("first")), "sets")
-    nodes = written(sketch.join(sets, (F.col("doc") == F.col("first")) & (sketch["s1"] == sets["s1"]) & (sketch["s2"] == sets["s2"]))
+    nodes = written(sketch.join(sets.hint("merge"), (F.col("doc") == F.col("first")) & (sketch["s1"] == sets["s1"]) & (sketch["s2"] == sets["s2"]))
                     .select("doc", "n", "registers"), "nodes")
     hubs = written(band_members(nodes, rows).groupBy("band").agg(F.min("doc").alias("hub"), F.max("doc").alias("_last"))
                    .filter("_last > hub").select("band", "hub"), "bands")
-    groups = written(band_members(nodes, rows).join(hubs, "band").select("band", "band_no", "hub", "doc"), "groups")
-    texts = docs.select(id_order().alias("doc"), "text")
+    groups = written(band_members(nodes, rows).join(hubs.hint("merge"), "band").select("band", "band_no", "hub", "doc"), "groups")
+    grouped_docs = written(groups.select("doc").distinct(), "grouped-docs")
+    nodes = written(nodes.join(grouped_docs.hint("merge"), "doc", "left_semi"), "grouped-nodes")
+    texts = written(docs.select(id_order().alias("doc"), "text").join(grouped_docs.hint("merge"), "doc", "left_semi"), "grouped-texts")
 
     stars = groups.filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     links = written(confirmed(passing_pairs(stars, nodes, similarity - MARGIN), texts, k, percent), "links")
