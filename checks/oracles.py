@@ -401,9 +401,9 @@ ORACLES: dict[str, str] = {
     "clear_queue": with_(STATE, "SELECT id, status FROM state WHERE status = 'saved'"),
     "review_events_stream": with_([*STATE, REVIEWS, FOLDED, REVIEWED], "SELECT * FROM reviewed"),
     "change_only": with_([PROGRESS], changes("progress")),
-    "change_only_until_finished": with_([PROGRESS, ("u", """SELECT * FROM progress QUALIFY coalesce(sum(CASE WHEN finished AND NOT running
-        THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0""")],
-        changes("u")),
+    **dict.fromkeys(["change_only_until_finished", "change_only_until_finished_stream"], with_([PROGRESS, ("u", """SELECT * FROM progress
+        QUALIFY coalesce(sum(CASE WHEN finished AND NOT running THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0""")], changes("u"))),
     "change_only_stream": with_([PROGRESS], changes("progress")),
     "progress_upsert": with_([PROGRESS, RUNS], "SELECT * FROM runs"),
     "progress_upsert_stream": with_([PROGRESS, RUNS], "SELECT * FROM runs"),

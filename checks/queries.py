@@ -633,6 +633,12 @@ def change_only_stream(spark, sf):
     return prog.change_only_stream(stream, ["message", "collected"]).select("run_id", "event_id", "message", "collected")
 
 
+@query
+def change_only_until_finished_stream(spark, sf):
+    stream = _event_stream(spark, sf).selectExpr(*I.split_list(I.PROGRESS_EVENTS))
+    return prog.change_only_stream(stream, ["message", "collected"], end=True).select("run_id", "event_id", "message", "collected")
+
+
 @query
 def progress_upsert(spark, sf):
     return prog.progress(I.progress_events(spark, sf), PROGRESS_FIELDS)

@@ -68,9 +68,12 @@ def fold_actions(actions: DataFrame, patch_fields: list[str]) -> DataFrame:
     """The net effect of all actions per listing id, in (ts, event_id) order.
 
     ``actions`` has id, ts, event_id, action (save, patch, delete; others change
-    nothing) and nullable patch columns; null means "not set".  Aggregates
+    nothing) and nullable patch columns; null means "not set".  An action with a
+    status that there isn't changes nothing; see ``bad_reviews``.  Aggregates
     combine before the shuffle, so one listing may hold any share of the rows.
     """
+    if "status" in patch_fields:
+        actions = actions.where(F.col("status").isNull() | F.col("status").isin(V.STATUSES))
     at = F.struct("ts", "event_id")
     given = F.col("status") if "status" in patch_fields else F.lit(None).cast("string")
     status = F.when(F.col("action") == "delete", "deleted").when(F.col("action") == "save", "saved").otherwise(
@@ -84,6 +87,12 @@ def fold_actions(actions: DataFrame, patch_fields: list[str]) -> DataFrame:
         *[F.expr(f"max_by({c}, _at) FILTER (WHERE _edit AND {c} IS NOT NULL)").alias(f"_{c}") for c in fields])
 
 
+def bad_reviews(actions: DataFrame) -> DataFrame:
+    """A failure row per listing id and unknown status of its actions."""
+    return actions.where(~F.col("status").isin(V.STATUSES)).select(
+        F.col("id").alias("url"), F.concat(F.lit("Unknown status: "), "status").alias("error")).distinct()
+
+
 def apply_reviews(state: DataFrame, folded: DataFrame) -> DataFrame:
     """Listings after the folded actions; ``updated_at`` is the time of the last one.
 

@@ -52,9 +52,12 @@ def progress_stream(sdf: DataFrame, fields: Sequence[str], order: Sequence[str]
 
 
 def change_only_stream(sdf: DataFrame, payload: Sequence[str], order: Sequence[str] = ("ts", "event_id"),
-                       path: str | None = None) -> DataFrame:
+                       path: str | None = None, end: bool = False) -> DataFrame:
     """``change_only`` over a stream whose batches arrive in order.
 
+    With ``end`` a run stops at its first finished record, as in ``until_finished``:
+    that record is what is carried over, so later batches add nothing to the run.
+
     Each batch is handled like a table: the last record per run is carried over
     in the shared folder, named by batch, and put in front of the next batch.  A
     replayed batch reads the same carry and overwrites its own output.
@@ -71,6 +74,7 @@ def change_only_stream(sdf: DataFrame, payload: Sequence[str], order: Sequence[s
 
     def step(rows: DataFrame, batch: int) -> None:
         both = carried(batch).withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True)))
+        both = until_finished(both, order) if end else both
         change_only(both, payload, order).where("_new").select(*names).write.mode("overwrite").parquet(
             f"{path}/rows/batch={batch}")
         last = both.groupBy("run_id").agg(F.max_by(F.struct(*names), F.struct(*order)).alias("r")).select("r.*")

@@ -184,3 +184,12 @@ def test_outcomes(spark):
     assert got[2][1].startswith("Only found 3 of 5 requested.")
     assert got[3] == ("Finished with 1 source warning(s).", "Done. Collected 5 / 5 matching contract jobs.")
     assert got[4] == (None, "Done. Collected 5 / 5 matching contract jobs.")
+
+
+def test_actions_with_an_unknown_status_change_nothing(spark):
+    actions = spark.createDataFrame(
+        [("a", 1, 1, "patch", "saved", "x"), ("a", 2, 2, "patch", "archived", "y"), ("b", 1, 3, "patch", None, "z")],
+        "id string, ts int, event_id int, action string, status string, notes string")
+    folded = merge.fold_actions(actions, ["status", "notes"]).select("id", "_status", "_notes").collect()
+    assert sorted(map(tuple, folded)) == [("a", "saved", "x"), ("b", "saved", "z")]
+    assert [tuple(r) for r in merge.bad_reviews(actions).collect()] == [("a", "Unknown status: archived")]
