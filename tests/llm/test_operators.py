@@ -72,6 +72,16 @@ def test_quality_rejects_what_the_language_does_not_look_like(crowd):
     assert sum(not r.kept for i, r in rows.items() if i != 77) <= 3
 
 
+def test_copies_do_not_set_the_band(crowd):
+    """One text in over three quarters of a language's rows leaves all results as they are without its copies."""
+    one = crowd.filter("lang = 'de' AND doc_id = 0")
+    copies = one.crossJoin(crowd.sparkSession.range(1000, 1400).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("copy")).select(crowd.columns)
+    want = {r.doc_id: (r.kept, round(r.loss, 9), r.lower, r.upper) for r in quality.judge_quality(crowd).collect()}
+    got = {r.doc_id: (r.kept, round(r.loss, 9), r.lower, r.upper) for r in quality.judge_quality(crowd.unionByName(copies)).collect()}
+    assert {i: r for i, r in got.items() if i < 1000} == want
+    assert {r for i, r in got.items() if i >= 1000} == {want[0]}
+
+
 def test_kept_documents_have_all_columns(docs, none):
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns
