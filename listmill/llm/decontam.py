@@ -9,9 +9,18 @@ bits, each the sign of a sum over its shingles, from prefix sums.
 
 Fingerprints meet in an index of ``BLOCKS`` blocks of bits.  The items' side holds all block
 values at most one bit away, so any two fingerprints within 2 * BLOCKS - 1 bits meet in some
-block: all of them are found, none by chance.  What is found is aligned with its item and
-verified by the exact similarity of the multisets of shingles, sum of smaller over sum of
-larger counts, at every start near the candidate.
+block: all of them are found, none by chance.
+
+A copy at the least similarity may be further away than that.  But each break in it (a changed,
+lost, added or moved word) costs four shingles or more, so it has few, and between two of them
+a long run is untouched (``least_run``).  Items therefore also have short windows at all their
+offsets, so long that such a run holds a whole window of the documents; those have equal
+fingerprints.  The bound needs breaks whose own shingles are not in the item: texts that say
+one phrase over and over may have more of them.
+
+What is found is aligned with its item and verified by the exact similarity of the multisets
+of shingles, sum of smaller over sum of larger counts, at every start up to an item's length
+away.  The best one is kept, the first of equal ones.
 
 The benchmark is the query set: it is read by each task in blocks of ``ITEM_BLOCK`` items, one
 index a block, and never joined with the documents as a whole.  Documents are read once a block.
@@ -23,6 +32,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,6 +48,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 STRIDE, BLOCKS, BLOCK_BITS = 4, 4, 16
 RADIUS = 2 * BLOCKS - 1
 GROWTH = 1.25  # from one size class to the next
+RUN_SIZES = (1, 2, 3, 4, 6, 9, 13)  # of the short windows
 ITEM_BLOCK = 20_000
 #: Marks that are no part of a word's key when they stand at its ends.
 MARKS = np.zeros(256, bool)
@@ -77,6 +88,15 @@ def size_class(n: int) -> int:
     return best
 
 
+def least_run(n: int, similarity: float) -> int:
+    """Shingles in the longest untouched run of any copy of an item of ``n`` shingles with that similarity.
+
+    A window with f foreign shingles has at least ``similarity * (n + f)`` of the item's, in at most f / 4 + 1 runs.
+    """
+    most = int(n * (1 - similarity) / (1 + similarity) + 1e-9)
+    return min(math.ceil(math.ceil(similarity * (n + f) - 1e-9) / (f // (SHINGLE - 1) + 1)) for f in range(most + 1))
+
+
 def sign_sums(grams: np.ndarray) -> np.ndarray:
     """Prefix sums of the bits as +1 and -1, one row more than there are shingles; differences are exact up to 32767."""
     bits = np.unpackbits(grams.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
@@ -90,6 +110,14 @@ def fingerprints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(sums[at + size] > sums[at], axis=1).view("<u8").reshape(-1)
 
 
+def grid(n: np.ndarray, first: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of the windows of ``size`` shingles at every ``step``-th shingle of texts of ``n``."""
+    count = np.where(n >= size, (n - size) // step + 1, 0)
+    where = np.cumsum(count) - count
+    text = np.repeat(np.arange(len(n)), count)
+    return text, first[:-1][text] + step * (np.arange(len(text)) - where[text])
+
+
 class Index:
     """Fingerprints of one size class by blocks; ``find`` gives all pairs within the radius."""
 
@@ -126,11 +154,13 @@ class Index:
 class Benchmark:
     """A block of items with their indexes, one for each size class."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], similarity: float = SIMILARITY):
         column = pa.array([t or "" for t in texts], pa.large_string())
         self.items: list[tuple[int, np.ndarray, np.ndarray]] = []  # id, distinct shingles, counts
         self.sizes: list[int] = []
+        self.least = similarity
         classes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        runs: dict[int, list[np.ndarray]] = defaultdict(list)
         row = 0
         for a, b, data, offsets in text_chunks(column):
             grams, first = shingles(data, offsets)
@@ -144,9 +174,18 @@ class Benchmark:
                     for base in spread:
                         for p, x in zip(at, fingerprints(sums, first[k] + base + at, size or len(own))):
                             classes[size].append((int(x), len(self.items), base + int(p)))
+                    short = max((w for w in RUN_SIZES if w + STRIDE - 1 <= least_run(len(own), similarity)), default=0)
+                    if short:
+                        at = np.arange(len(own) - short + 1)
+                        runs[short].append(np.stack([fingerprints(sums, first[k] + at, short), np.full(len(at), len(self.items), np.uint64), at.astype(np.uint64)]))
                     self.items.append((ids[row], *np.unique(own, return_counts=True)))
                     self.sizes.append(len(own))
                 row += 1
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # fingerprints in order, (item, offset)
+        for size, parts in runs.items():
+            joined = np.concatenate(parts, axis=1)
+            order = np.argsort(joined[0], kind="stable")
+            self.runs[size] = joined[0][order], joined[1:, order].astype(np.int64)
         self.small = {len_ for i, len_ in enumerate(self.sizes) if not size_class(len_)}
         self.indexes: dict[int, Index] = {}
         for size, rows in classes.items():
@@ -159,39 +198,58 @@ class Benchmark:
         self.exact = {n: Index(np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64)) for n, rows in by_size.items()}
 
     def candidates(self, sums: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, start of the item in the joined shingles) of all windows within the radius."""
+        """(text, item, start of the item in the joined shingles) of all windows within the radius, and of all equal short ones."""
         n = np.diff(first)
+        for size, (prints, owners) in self.runs.items():
+            text, at = grid(n, first, size, STRIDE)
+            for lot in range(0, len(at), 1 << 15):
+                own = fingerprints(sums, at[lot:lot + (1 << 15)], size)
+                low = np.searchsorted(prints, own)
+                hit = np.flatnonzero(prints[np.minimum(low, len(prints) - 1)] == own)
+                count = np.searchsorted(prints, own[hit], "right") - low[hit]
+                left = np.repeat(hit, count)
+                right = np.repeat(low[hit], count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+                found = np.stack([text[lot + left], owners[0][right], at[lot + left] - owners[1][right]], axis=1)
+                yield from map(tuple, np.unique(found, axis=0).tolist())
         for step, indexes in ((STRIDE, self.indexes), (1, self.exact)):
             for size, index in indexes.items():
-                count = np.where(n >= size, (n - size) // step + 1, 0)
-                where = np.cumsum(count) - count
-                text = np.repeat(np.arange(len(n)), count)
-                at = first[:-1][text] + step * (np.arange(len(text)) - where[text])
+                text, at = grid(n, first, size, step)
                 for lot in range(0, len(at), 1 << 15):
                     left, right = index.find(fingerprints(sums, at[lot:lot + (1 << 15)], size))
                     for i, j in zip((left + lot).tolist(), right.tolist()):
                         item, offset = index.owners[j]
                         yield int(text[i]), int(item), int(at[i] - offset)
 
-    def similarity(self, item: int, window: np.ndarray) -> float:
-        """Sum of smaller over sum of larger counts of the shingles of the item and the window."""
-        _, own, counts = self.items[item]
-        other, more = np.unique(window, return_counts=True)
-        _, a, b = np.intersect1d(own, other, assume_unique=True, return_indices=True)
-        both = int(np.minimum(counts[a], more[b]).sum())
-        return both / max(1, self.sizes[item] + len(window) - both)
-
     def verify(self, item: int, start: int, grams: np.ndarray, low: int, high: int) -> tuple[float, int]:
-        """The best similarity at a start near ``start`` within the text [low, high), and that start."""
+        """The best similarity at a start up to the item's length from ``start`` within the text [low, high), and the first such start."""
+        _, own, counts = self.items[item]
         size, best = self.sizes[item], (0.0, start)
-        for shift in sorted(range(-STRIDE, STRIDE + 1), key=abs):
-            a, b = max(low, start + shift), min(high, start + shift + size)
+        begin, end = max(low, start - size), min(high, start + 2 * size)
+        part = grams[begin:end]
+        place = np.minimum(np.searchsorted(own, part), len(own) - 1)
+        place = np.where(own[place] == part, place, -1)
+        if np.count_nonzero(place >= 0) < self.least * size:  # no window can have as many of the item's shingles as it needs
+            return best
+        place = place.tolist()
+        left, both = counts.tolist(), 0
+        a = b = begin
+        for at in range(start - size, start + size + 1):
+            while b < min(end, at + size):
+                k = place[b - begin]
+                if k >= 0:
+                    both += left[k] > 0
+                    left[k] -= 1
+                b += 1
+            while a < min(b, at):
+                k = place[a - begin]
+                if k >= 0:
+                    left[k] += 1
+                    both -= left[k] > 0
+                a += 1
             if a < b:
-                value = self.similarity(item, grams[a:b])
+                value = both / (size + b - a - both)
                 if value > best[0]:
                     best = value, a
-                if value == 1.0:
-                    break
         return best
 
 
@@ -209,7 +267,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         shared = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(*shared.value)
+            bench = Benchmark(*shared.value, similarity)
             for batch in batches:
                 for a, _, data, offsets in text_chunks(text_column(batch), 1 << 18):
                     grams, first = shingles(data, offsets)
@@ -220,8 +278,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
                             continue
                         seen.add((text, item, start))
                         value, at = bench.verify(item, start, grams, int(first[text]), int(first[text + 1]))
-                        if value >= similarity and value > best.get((text, item), (0.0, 0))[0]:
-                            best[text, item] = value, at - int(first[text])
+                        at -= int(first[text])
+                        known = best.get((text, item), (0.0, 0))
+                        if value >= similarity and (value > known[0] or value == known[0] and at < known[1]):
+                            best[text, item] = value, at
                     if best:
                         rows = pa.array([a + t for t, _ in best])
                         part = batch.take(rows)

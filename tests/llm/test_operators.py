@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -205,6 +206,52 @@ def test_decontamination(spark, docs, none):
     assert decontam.clean_documents(docs, items.filter("item_id > 99")).count() == docs.count()
 
 
+def edited(w, edits):
+    w = list(w)
+    for _ in range(edits):
+        at = random.randrange(len(w))
+        kind = random.randrange(4)
+        if kind == 0:
+            w[at] = f"new{random.random()}"
+        elif kind == 1:
+            del w[at]
+        elif kind == 2:
+            w.insert(at, f"more{random.random()}")
+        else:  # a part is moved
+            w = w[at:] + w[:at]
+    return w
+
+
+def test_edited_items_are_found_down_to_the_similarity(spark):
+    """Against brute force over all windows: every copy at 0.8 or more, with its best similarity."""
+    random.seed(8)
+    items = [[f"i{k}w{random.randrange(80)}" for _ in range(n)] for k, n in enumerate([8, 15, 20, 30, 45, 50, 60, 100, 150, 300] * 3)]
+    rows = []
+    for k, w in enumerate(items):
+        for edits in (1, 1, 1, 2, 3, 4, 6):
+            around = [f"t{random.random()}" for _ in range(random.randrange(40))]
+            cut = random.randrange(len(around) + 1)
+            rows.append((len(rows), k, " ".join(around[:cut] + edited(w, min(edits, 1 + len(w) // 50)) + around[cut:])))
+
+    def grams(w):
+        return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+
+    def best(own, text):
+        most, own_counts = 0.0, Counter(own)
+        for a in range(1 - len(own), len(text)):
+            window = text[max(0, a):a + len(own)]
+            both = sum((own_counts & Counter(window)).values())
+            most = max(most, both / (len(own) + len(window) - both))
+        return most
+
+    want = {(i, k): best(grams(items[k]), grams(t.split(" "))) for i, k, t in rows}
+    want = {key: v for key, v in want.items() if v >= 0.8}
+    got = decontam.matches(spark.createDataFrame(rows, "doc_id long, k long, text string"),
+                           spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in got} == want
+    assert len([v for v in want.values() if v < 0.9]) > 30
+
+
 def test_item_blocks_change_nothing(spark, docs, monkeypatch):
     items = spark.createDataFrame([(k, odd.PASSAGE if k == 7 else f"{ITEM} {k}") for k in range(10)], "item_id long, text string")
     one = sorted(map(tuple, decontam.matches(docs, items).collect()))
