@@ -5,7 +5,10 @@ that falls into it, stored as 16 bits: 6 for the count of leading zeros and 10 o
 mantissa.  An empty bucket borrows from a fixed list of other buckets, so short texts
 have full sketches too.  Bands of compressed registers give candidates; a Jaccard
 estimate from all registers, corrected for registers that agree by accident, drops
-most false ones; the rest is confirmed on the full shingle sets.
+most false ones; the rest is confirmed on the full shingle sets.  Sets of fewer than
+``SHORT`` shingles fill few buckets of their own, so one shingle may be lent to many:
+they are not estimated, but confirmed whenever their sizes allow it.  Above, the
+margins are wider the fewer buckets a set fills.
 
 The number of registers in a band is the largest at which a pair at the threshold shares
 no band with a probability of at most ``MISS``.
@@ -48,6 +51,7 @@ MARGIN = 0.15  # of the estimate below the threshold: over 7 standard deviations
 LEFT_OVER_MARGIN = 0.09  # the same for pairs between a group's components: over 4 of them
 ZERO_BITS, MANTISSA_BITS = 6, 10
 BORROWS = 48
+SHORT = 50  # shingles below which there is no estimate
 _EMPTY = np.uint64(2**64 - 1)
 _DOC_BITS = 12  # texts in a chunk, in the upper bits of sort keys
 _LENDERS = (mix(np.arange(REGISTERS * BORROWS, dtype=np.uint64)) % np.uint64(REGISTERS)).astype(np.int64).reshape(BORROWS, REGISTERS)
@@ -129,6 +133,14 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.clip((equal / REGISTERS - c) / (1 - c), 0, 1)
 
 
+def may_link(equal: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float, margin: float) -> np.ndarray:
+    """Whether pairs of sets of n and m shingles with so many equal registers have to be held against each other in full."""
+    small, large = np.minimum(n, m), np.maximum(n, m)
+    filled = REGISTERS * -np.expm1(-small / REGISTERS)  # buckets with a value of their own, on average
+    near = estimate(equal, n, m) >= similarity - margin * np.sqrt(REGISTERS / np.maximum(filled, 1.0))
+    return ((small < SHORT) | near) & (small >= similarity * large)  # sets of more unequal sizes can't be linked
+
+
 def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
     """doc, n (distinct shingles), s1 and s2 (hash of the set), registers (binary)."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +173,8 @@ def band_members(nodes: DataFrame, rows: int) -> DataFrame:
     return nodes.select(F.posexplode(bands).alias("band_no", "band"), "doc").select("band", "band_no", "doc")
 
 
-def passing_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The (a, b) whose estimate is at least ``least``."""
+def passing_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) that pass the estimate."""
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), F.col("registers").alias(f"r_{name}"))
 
@@ -171,7 +183,7 @@ def passing_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
                 equal = (register_rows(part.column(4)) == register_rows(part.column(5))).sum(axis=1)
-                keep = estimate(equal, part.column(2).to_numpy(), part.column(3).to_numpy()) >= least
+                keep = may_link(equal, part.column(2).to_numpy(), part.column(3).to_numpy(), similarity, MARGIN)
                 yield part.select([0, 1]).filter(pa.array(keep))
 
     joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
@@ -260,8 +272,7 @@ def left_over_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, rows
                     same = stack == registers[row]
                     shared = same[:, :count * rows].reshape(len(same), count, rows).all(axis=2)
                     keep = (shared.argmax(axis=1) == band_no) & (part_ != part)
-                    keep &= np.minimum(n_, n) >= similarity * np.maximum(n_, n)  # sets of more unequal sizes can't be linked
-                    keep[keep] = estimate(same[keep].sum(axis=1), n_[keep], np.full(keep.sum(), n)) >= similarity - LEFT_OVER_MARGIN
+                    keep[keep] = may_link(same[keep].sum(axis=1), n_[keep], np.full(keep.sum(), n), similarity, LEFT_OVER_MARGIN)
                     found.update((min(d, doc), max(d, doc)) for d in docs_[keep].tolist())
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
@@ -289,7 +300,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = written(docs.select(id_order().alias("doc"), "text").join(grouped_docs.hint("merge"), "doc", "left_semi"), "grouped-texts")
 
     stars = groups.filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    links = written(confirmed(passing_pairs(stars, nodes, similarity - MARGIN), texts, k, percent), "links")
+    links = written(confirmed(passing_pairs(stars, nodes, similarity), texts, k, percent), "links")
     labels = components(links)
     more = written(confirmed(left_over_pairs(groups, nodes, labels, rows, similarity), texts, k, percent), "links")
     if not more.isEmpty():

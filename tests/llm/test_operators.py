@@ -324,6 +324,22 @@ def test_a_group_whose_hub_is_no_hub(spark):
     assert got == want and len(set(want.values())) < 30
 
 
+def test_short_texts_are_linked_exactly(spark):
+    """Texts of 5 to 20 words, each with a copy that lost or gained a word at an end, against brute force."""
+    random.seed(11)
+    rows, want = [], {}
+    for i in range(0, 6000, 2):
+        w = [f"w{i}x{j}" for j in range(random.choice([8, 8, 9, 9, random.randrange(5, 21)]))]
+        pair = w, random.choice([w[1:], [*w, "more"], w[:-1]])
+        sets = [odd.shingle_set(" ".join(x), 3) for x in pair]
+        linked = 100 * len(sets[0] & sets[1]) >= 85 * len(sets[0] | sets[1])
+        rows += [(i, " ".join(pair[0])), (i + 1, " ".join(pair[1]))]
+        want |= {i: i, i + 1: i if linked else i + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 3, 85).collect()} == want
+    assert sum(i != c for i, c in want.items()) > 1000
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 299), (299, 298)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
