@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listmill.llm import decontam, fixity, line_runs, mixing, near_dup, pii, quality, scoring, token_files, url_rules
+from listmill.llm import (centroids, decontam, fixity, line_runs, mixing, near_dup, pii, quality, scoring, secret_ledger, token_files, url_rules,
+                          whitening)
 from listmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,3 +180,81 @@ fits AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN hit.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM tokens LEFT JOIN fits USING (page_id) LEFT JOIN hit USING (page_id)"""
+
+
+@query
+def op11_pca_filtered_centroids(spark, sf):
+    return centroids.cluster_vectors(table(spark, sf, "embeddings"), dims=64, k=8, rounds=10, scale=1024, seed="3")
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Every round spelled out: a{r} are the assignments, m{r} the means, c{r} the centroids."""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id) AS rid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), c0 AS MATERIALIZED (SELECT (rid - 1)::INTEGER AS c, x FROM v WHERE rid <= {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT rid, c, list_sum(list_transform(list_zip(v.x, t.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r} t) GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS MATERIALIZED (
+  SELECT c, list(floor_mean ORDER BY i) AS x FROM (
+    SELECT best.c AS c, i, ((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_mean
+    FROM (SELECT rid, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM v) JOIN a{r} USING (rid) GROUP BY 1, 2) GROUP BY c
+), c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, best.c AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(t.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} t ON t.c = best.c"""
+
+
+ORACLES["op11_pca_filtered_centroids"] = _lloyd_sql(8, 10)
+
+
+@query
+def op12_secret_ledger(spark, sf):
+    """Every document is one version of the path that its id names; the history is entered in two commits."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    return secret_ledger.digest(secret_ledger.scan_history(docs, commits=2)).withColumnRenamed("path", "doc_id")
+
+
+def _secrets_sql() -> str:
+    """Positions of matches are the lengths of all that stands before them."""
+    rules = [r for s in (secret_ledger.BASE, secret_ledger.FORMS) for r in s.rules]
+
+    def said(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    found = "\n  UNION ALL ".join(
+        f"SELECT rid, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, {said(r.pattern)}, 0) AS ms, "
+        f"regexp_extract_all(t, {said(r.pattern)}, {r.group}) AS gs, string_split_regex(t, {said(r.pattern)}) AS pc FROM docs" for i, r in enumerate(rules))
+    base = ", ".join(f"'{k}'" for k in secret_ledger.BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secret_ledger.BASE_KINDS)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  {found}
+), placed AS (
+  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found
+), spans AS (
+  SELECT rid, rank, kind, ms[i] AS m, (coalesce(list_sum(list_transform(pc[1:i], lambda x: length(x))), 0)
+         + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM placed WHERE length(gs[i]) >= least
+), said AS (SELECT rid, rank, kind, s, kind || ':' || s || ':' || (s + length(m)) AS span FROM spans),
+summed AS (
+  SELECT rid, {counts}, string_agg(span, ',' ORDER BY s, rank) FILTER (WHERE kind IN ({base})) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans
+  FROM said GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN summed USING (rid)"""
+
+
+ORACLES["op12_secret_ledger"] = _secrets_sql()
+
+
+@query
+def op13_feast_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"), components=32, scale=64, shift=1_000_000)
