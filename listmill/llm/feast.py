@@ -20,43 +20,46 @@ REPEATS = 12
 TOLERANCE = 1e-14  # of a residual, against the norm of the matrix
 
 
-def inertia(a: np.ndarray) -> tuple[int, int, int]:
-    """How many eigenvalues are above, below and at zero: an LDL' factorisation with complete (Bunch-Parlett) pivoting."""
-    a = np.array(a, float)
-    above = below = 0
-    while len(a):
-        diagonal = np.abs(np.diag(a))
-        off = np.abs(a)
-        np.fill_diagonal(off, 0)
-        r = int(diagonal.argmax())
-        p, q = divmod(int(off.argmax()), len(a))
-        if diagonal[r] == 0 and off[p, q] == 0:
-            break
-        if diagonal[r] >= 0.6404 * off[p, q]:  # (1 + sqrt(17)) / 8 bounds the growth
-            pivot = [r]
-            above, below = above + (a[r, r] > 0), below + (a[r, r] < 0)
-        else:  # such a block has one eigenvalue of each sign
-            pivot = [p, q]
-            above, below = above + 1, below + 1
-        rest = np.delete(np.arange(len(a)), pivot)
-        side = a[np.ix_(rest, pivot)]
-        a = a[np.ix_(rest, rest)] - side @ np.linalg.solve(a[np.ix_(pivot, pivot)], side.T)
-        a = (a + a.T) / 2
-    return int(above), int(below), len(a)
-
-
-def count_above(a: np.ndarray, shift: float) -> int:
-    return inertia(a - shift * np.eye(len(a)))[0]
-
-
-def intervals(a: np.ndarray, low: float, high: float, wanted: int) -> list[tuple[float, float, int]]:
+class Inertia:
+    """Counts of eigenvalues above a shift: the signs of the pivots of A - shift, with A brought into three diagonals once."""
+
+    def __init__(self, a: np.ndarray):
+        a = np.array(a, float)
+        n = len(a)
+        for k in range(n - 2):
+            x = a[k + 1:, k].copy()
+            length = np.linalg.norm(x)
+            if length == 0:
+                continue
+            x[0] += length if x[0] >= 0 else -length
+            x /= np.linalg.norm(x)
+            rest = a[k + 1:, k + 1:]
+            turned = rest @ x
+            turned -= (x @ turned) * x
+            rest -= 2 * (np.outer(x, turned) + np.outer(turned, x))
+            a[k + 1:, k] -= 2 * x * (x @ a[k + 1:, k])
+        self.main, self.beside = np.diag(a).tolist(), (np.diag(a, -1) ** 2).tolist()
+        self.tiny = float(np.abs(a).max(initial=0)) * 1e-300 + 1e-300
+
+    def above(self, shift: float) -> int:
+        """How many eigenvalues are above ``shift``."""
+        count, pivot = 0, 1.0
+        for i, d in enumerate(self.main):
+            pivot = d - shift - (self.beside[i - 1] / pivot if i else 0.0)
+            if pivot == 0:
+                pivot = -self.tiny
+            count += pivot > 0
+        return count
+
+
+def intervals(counts: Inertia, low: float, high: float, wanted: int) -> list[tuple[float, float, int]]:
     """(low, high, number of eigenvalues) from the top of (low, high) down, until ``wanted`` eigenvalues are covered.
 
     Parts with more than WIDE eigenvalues, or over several orders of magnitude, are cut, but not what is too narrow to be told apart.
     Equal eigenvalues stay together.
     """
     out, covered = [], 0
-    open_parts = [(low, high, count_above(a, low), count_above(a, high))]
+    open_parts = [(low, high, counts.above(low), counts.above(high))]
     while open_parts and covered < wanted:
         lo, hi, n_lo, n_hi = open_parts.pop()
         n = n_lo - n_hi
@@ -67,17 +70,17 @@ def intervals(a: np.ndarray, low: float, high: float, wanted: int) -> list[tuple
             out.append((lo, hi, n))
             covered += n
             continue
-        cut = quiet_cut(a, lo, hi, (np.sqrt(lo * hi) - lo) / (hi - lo) if steep else 0.5)
-        n_cut = count_above(a, cut)
+        cut = quiet_cut(counts, lo, hi, (np.sqrt(lo * hi) - lo) / (hi - lo) if steep else 0.5)
+        n_cut = counts.above(cut)
         open_parts += [(lo, cut, n_lo, n_cut), (cut, hi, n_cut, n_hi)]  # the upper one is taken next
     return out
 
 
-def quiet_cut(a: np.ndarray, lo: float, hi: float, middle: float) -> float:
+def quiet_cut(counts: Inertia, lo: float, hi: float, middle: float) -> float:
     """A place near the middle, given as a part of the width, with no eigenvalue close to it, so that no cluster is cut in two."""
     for times in (1.0, 0.9, 1.1, 0.8, 1.2, 0.7, 1.3, 0.6, 1.4):
         cut, room = lo + middle * times * (hi - lo), 0.02 * middle * (hi - lo)
-        if count_above(a, cut - room) == count_above(a, cut + room):
+        if counts.above(cut - room) == counts.above(cut + room):
             return cut
     return lo + middle * (hi - lo)
 
@@ -94,15 +97,29 @@ def project(a: np.ndarray, y: np.ndarray, low: float, high: float) -> np.ndarray
     return out
 
 
-def pairs_in(a: np.ndarray, low: float, high: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+def inner_bounds(counts: Inertia, low: float, high: float) -> tuple[float, float]:
+    """Where the eigenvalues of (low, high) begin and end, to a thousandth of its width, by inertia counts."""
+    every, none = counts.above(low), counts.above(high)
+    bottom, top, over, under = low, high, high, low
+    for _ in range(10):
+        cut = (bottom + over) / 2
+        bottom, over = (cut, over) if counts.above(cut) == every else (bottom, cut)
+        cut = (top + under) / 2
+        top, under = (cut, under) if counts.above(cut) == none else (top, cut)
+    return bottom, top
+
+
+def pairs_in(a: np.ndarray, counts: Inertia, low: float, high: float, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``n`` eigenvalues of (low, high), falling, and their unit vectors; an error if some can't be found."""
     norm, dims = np.abs(a).sum(axis=0).max(), len(a)
-    room = max(0.05 * (high - low), 1e-9 * norm)
-    held = count_above(a, low - room) - count_above(a, high + room)  # by the circle, with the neighbours of the interval
+    bottom, top = inner_bounds(counts, low, high)
+    # The circle is drawn close around the eigenvalues and half-way to the ends of the interval, so that what lies beyond is damped.
+    room = max(min(bottom - low, high - top) / 2, 0.05 * (top - bottom), 1e-9 * norm)
+    held = counts.above(bottom - room) - counts.above(top + room)  # by the circle, with neighbours that are close
     y = np.random.default_rng(7).standard_normal((dims, min(dims, held + held // 2 + 3)))
     best = None
     for _ in range(REPEATS):
-        q, _ = np.linalg.qr(project(a, y, low - room, high + room))
+        q, _ = np.linalg.qr(project(a, y, bottom - room, top + room))
         values, turn = np.linalg.eigh(q.T @ a @ q)
         vectors = q @ turn
         away = np.linalg.norm(a @ vectors - vectors * values, axis=0)
@@ -124,17 +141,17 @@ def pairs_in(a: np.ndarray, low: float, high: float, n: int) -> tuple[np.ndarray
 
 def leading_pairs(a: np.ndarray, wanted: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The ``wanted`` largest eigenvalues above ``least``, falling, and their unit vectors in columns; fewer if there are fewer."""
-    dims = len(a)
+    dims, counts = len(a), Inertia(a)
     top = float(np.abs(a).sum(axis=0).max(initial=0)) * 1.01 + 1e-300  # above every eigenvalue
     values, vectors = [], []
-    for low, high, n in intervals(a, least, top, wanted):
-        own, directions = pairs_in(a, low, high, n)
+    for low, high, n in intervals(counts, least, top, wanted):
+        own, directions = pairs_in(a, counts, low, high, n)
         values.append(own)
         vectors.append(directions)
     if not values:
         return np.empty(0), np.empty((dims, 0))
     e, v = np.concatenate(values)[:wanted], np.concatenate(vectors, axis=1)[:, :wanted]
-    if len(e) != min(wanted, count_above(a, least)):
+    if len(e) != min(wanted, counts.above(least)):
         raise ArithmeticError("Inertia counts and eigenvalues don't agree")
     q, r = np.linalg.qr(v)  # vectors of different intervals are at right angles to rounding; this removes the rounding
     return e, q * np.sign(np.diag(r))

@@ -98,7 +98,8 @@ def turned(values, seed=1):
 
 
 @pytest.mark.parametrize("values", [
-    np.linspace(1, 9, 40), [5.0] * 20 + [3.0] * 20 + [1.0] * 5, 0.7 ** np.arange(50), [4.0] * 3 + [0.0] * 30, 1 + np.arange(40) // 2 * 1e-8, [2.0], [0.0, 0.0]])
+    np.linspace(1, 9, 40), [5.0] * 20 + [3.0] * 20 + [1.0] * 5, 0.7 ** np.arange(50), [4.0] * 3 + [0.0] * 30, 1 + np.arange(40) // 2 * 1e-8,
+    [106.5, 104.1, 68.3, *np.linspace(58, 67.6, 61)], [1e6, 5.0, *np.linspace(1, 1.001, 40)], [1e3] * 2 + [1.0] * 30 + [1e-9] * 10, [2.0], [0.0, 0.0]])
 def test_leading_pairs_equal_a_full_decomposition(values):
     a, want = turned(np.asarray(values, float)), np.sort(values)[::-1]
     least = 1e-13 * np.trace(a)
@@ -111,17 +112,17 @@ def test_leading_pairs_equal_a_full_decomposition(values):
         assert np.abs(v.T @ v - np.eye(len(e))).max() < 1e-13
 
 
-def test_inertia_counts_signs():
-    for values in ([3, 2, -1, -4, -5], [1, -1] * 10, [0, 0, 2, -2], list(range(-20, 30))):
-        a = turned(np.asarray(values, float), seed=len(values))
-        above, below, _ = feast.inertia(a - 0.5 * np.eye(len(values)))
-        assert (above, below) == (sum(v > 0.5 for v in values), sum(v < 0.5 for v in values))
-    assert feast.inertia(np.array([[0.0, 1.0], [1.0, 0.0]])) == (1, 1, 0)
+def test_inertia_counts_eigenvalues_above_a_shift():
+    for values in ([3, 2, -1, -4, -5], [1, -1] * 10, [0, 0, 2, -2], list(range(-20, 30)), [0.0] * 4, [7.0]):
+        counts = feast.Inertia(turned(np.asarray(values, float), seed=len(values)))
+        assert [counts.above(s) for s in (-30.5, -1.5, 0.5, 2.5)] == [sum(v > s for v in values) for s in (-30.5, -1.5, 0.5, 2.5)]
+    assert feast.Inertia(np.array([[0.0, 1.0], [1.0, 0.0]])).above(0.0) == 1
 
 
 def test_an_interval_whose_pairs_are_missing_is_an_error():
+    a = turned(np.linspace(1, 9, 12))
     with pytest.raises(ArithmeticError):
-        feast.pairs_in(turned(np.linspace(1, 9, 12)), 0.5, 1.2, 3)
+        feast.pairs_in(a, feast.Inertia(a), 0.5, 1.2, 3)
 
 
 # -- whitening -------------------------------------------------------------------------
