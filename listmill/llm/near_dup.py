@@ -17,9 +17,10 @@ Groups.  Documents with equal sets are one node from the start, so copies cost n
 In each band's group all members are held against one hub, the smallest id; groups are
 never expanded into pairs.  Linked members are one component and need no more pairs.
 Members of a group that are in another component than the hub are then held against
-all others of the group that are in another component, in blocks of registers, and
-what passes the estimate is confirmed too.  So no pair that shares a band is left out.
-Hubs with many members are split by a salt; confirming streams sorted rows and holds one
+all others of the group that are in another component, in blocks of bounded size.  They bring their full sets along,
+so what passes the estimate is confirmed on the spot, and a block gives out the links that join
+components only.  So no pair that shares a band is left out, and rows grow with the members and not with their pairs.
+Hubs are split by the number of their members; confirming streams sorted rows and holds one
 hub's set at a time.
 
 Only documents that share a band are read again: their registers and texts are taken
@@ -199,13 +200,15 @@ def text_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(shingles[a:b])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, salts: int = 64) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, most: int = 4096) -> DataFrame:
     """The (a, b), of ``docs`` (doc, text), with 100 * intersection >= percent * union on the full sets.
 
-    Rows of a hub ``a`` are dealt to ``salts`` parts; each part gets the hub's text once, sorted before its members.
+    The members of a hub ``a`` are dealt to parts of about ``most``; each part gets the hub's text once, sorted before its members.
     Hubs and members meet the texts in one join, so the texts are dealt once.
     """
-    salted = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")), "pairs")
+    pairs = written(pairs, "pairs")
+    parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")), "hub-parts")
+    salted = written(pairs.join(parts.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt")), "salted-pairs")
     members = salted.select("a", "salt", F.lit(1).alias("role"), "b")
     hubs = salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b")).distinct()
     rows = members.unionByName(hubs).join(docs.hint("merge"), F.col("b") == F.col("doc")).select("a", "salt", "role", "b", "text").repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
@@ -231,54 +234,115 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, salts: in
     return rows.mapInArrow(confirm, "a bigint, b bigint").distinct()
 
 
-def left_over_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, rows: int, similarity: float, block: int = 4096) -> DataFrame:
-    """(a, b) of band groups in different components that pass the estimate; at least one is in another than the hub's.
+def full_members(texts: DataFrame, k: int) -> DataFrame:
+    """doc, n, registers and shingles (the full sorted set, as 64-bit integers) of ``texts`` (doc, text); equal sets of a document are there once."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = text_column(batch)
+            for a, b, data, offsets in text_chunks(column, most_rows=(1 << _DOC_BITS) - 1):
+                shingles, where = distinct_shingles(data, offsets, k)
+                binary = pa.Array.from_buffers(pa.binary(REGISTERS * 2), b - a, [None, pa.py_buffer(sketches(shingles, where).astype(">u2").tobytes())]).cast(pa.binary())
+                full = list(text_sets(column.slice(a, b - a), k))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(where).astype(np.int64)), binary, pa.array([s.tobytes() for s in full], pa.binary())],
+                                                 ["doc", "n", "registers", "shingles"])
+
+    return texts.select("doc", "text").mapInArrow(sketch, "doc bigint, n bigint, registers binary, shingles binary").dropDuplicates(["doc", "n", "registers"])
 
-    Members outside the hub's component are dealt to blocks, and each block meets the group's members block by block.
-    A pair is looked at in the first band that it shares, so once.
+
+def left_over_links(groups: DataFrame, texts: DataFrame, labels: DataFrame, rows: int, similarity: float, k: int, percent: int, room: int = 1 << 25) -> DataFrame:
+    """(a, b): links between members of a band group that are in different components; one of them is in another than the hub's.
+
+    Members outside the hub's component are dealt to blocks of about ``room`` bytes, and each block meets the group's members
+    block by block.  A member brings its full set along, so what passes the estimate is confirmed where it is found, and pairs never leave
+    a cell: it gives out the links that join components, fewer than it has members.  A pair is looked at in the first band that it shares.
     """
     count = REGISTERS // rows
     own = groups.join(labels, F.col("doc") == F.col("node"), "left").select("band", "band_no", "doc", "hub", F.coalesce("component", "doc").alias("part"))
     hubs = labels.select(F.col("node").alias("_node"), F.col("component").alias("_part"))
     marked = written(own.join(hubs, F.col("hub") == F.col("_node"), "left").select(
-        "band", "band_no", "doc", "part", (F.col("part") != F.coalesce("_part", "hub")).alias("minor")), "left-over")
-    sizes = marked.groupBy("band").agg(F.count("*").alias("size"), F.sum(F.col("minor").cast("int")).alias("minors")).filter("minors > 0")
-    sizes = written(sizes.select("band", F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil(F.col("minors") / block).cast("int").alias("minor_blocks")), "left-over-sizes")
-    known = marked.join(sizes, "band").join(nodes.select("doc", "n", "registers").hint("merge"), "doc")
+        "band", "band_no", "doc", "part", (F.col("part") != F.coalesce("_part", "hub")).alias("minor")), "marked")
+    open_bands = written(marked.groupBy("band").agg(F.max("minor").alias("open")).filter("open").select("band"), "open-bands")
+    marked = written(marked.join(open_bands.hint("merge"), "band", "left_semi"), "left-over")
+    wanted = written(marked.select("doc").distinct(), "left-over-docs")
+    members = written(full_members(texts.join(wanted.hint("merge"), "doc", "left_semi"), k), "left-over-members")
+    weight = (8 * F.col("n") + 2 * REGISTERS + 100).cast("long")
+    weighed = marked.join(members.select("doc", "n").hint("merge"), "doc").groupBy("band").agg(F.sum(weight).alias("w"), F.sum(F.when(F.col("minor"), weight)).alias("m"))
+    sizes = written(weighed.select("band", F.ceil(F.col("w") / room).cast("int").alias("blocks"), F.ceil(F.col("m") / room).cast("int").alias("minor_blocks")), "left-over-sizes")
+    known = marked.join(sizes, "band").join(members.hint("merge"), "doc")
     slot = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks"))
     minor_slot = F.pmod(F.xxhash64("doc", F.lit(11)), F.col("minor_blocks"))
-    columns = ["band", "i", "j", "role", "doc", "n", "part", "band_no", "registers"]
+    columns = ["band", "i", "j", "role", "doc", "n", "part", "band_no", "registers", "shingles"]
     left = known.filter("minor").withColumn("i", minor_slot).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = known.withColumn("j", slot).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)))
     cells = left.withColumn("role", F.lit(0)).select(*columns).union(right.withColumn("role", F.lit(1)).select(*columns))
-    cells = cells.repartition(partitions(nodes.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j", "role")
+    cells = cells.repartition(partitions(texts.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
+        cell, held = None, None
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(8))))
-            registers = register_rows(batch.column(8))
-            found: set[tuple[int, int]] = set()
+            registers, sets = register_rows(batch.column(8)), batch.column(9)
+            found: list[tuple[int, int]] = []
             for row, (band, i, j, role, doc, n, part, band_no) in enumerate(keys):
                 if (band, i, j) != cell:
-                    cell, held, stack = (band, i, j), [], None
+                    cell, held = (band, i, j), Cell(count, rows, similarity, percent)
+                shingles = np.frombuffer(sets[row].as_py(), np.uint64)
                 if role == 0:
-                    held.append((doc, n, part, registers[row]))
-                    stack = None
-                elif held:
-                    if stack is None:
-                        docs_, n_, part_ = (np.array([h[c] for h in held]) for c in (0, 1, 2))
-                        stack = np.stack([h[3] for h in held])
-                    same = stack == registers[row]
-                    shared = same[:, :count * rows].reshape(len(same), count, rows).all(axis=2)
-                    keep = (shared.argmax(axis=1) == band_no) & (part_ != part)
-                    keep[keep] = may_link(same[keep].sum(axis=1), n_[keep], np.full(keep.sum(), n), similarity, LEFT_OVER_MARGIN)
-                    found.update((min(d, doc), max(d, doc)) for d in docs_[keep].tolist())
+                    held.hold(doc, n, part, registers[row], shingles)
+                else:
+                    found += held.links(doc, n, part, registers[row], shingles, band_no)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return cells.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+class Cell:
+    """Members of a block that others of their group are held against; links that join nothing new aren't given out."""
+
+    def __init__(self, bands: int, rows: int, similarity: float, percent: int):
+        self.bands, self.rows, self.similarity, self.percent = bands, rows, similarity, percent
+        self.members: list[tuple] = []
+        self.stack = None
+        self.above: dict[int, int] = {}  # of components that were joined here
+
+    def hold(self, *member) -> None:
+        self.members.append(member)
+        self.stack = None
+
+    def top(self, part: int) -> int:
+        while (up := self.above.get(part, part)) != part:
+            self.above[part] = self.above.get(up, up)
+            part = up
+        return part
+
+    def links(self, doc: int, n: int, part: int, registers: np.ndarray, shingles: np.ndarray, band_no: int) -> list[tuple[int, int]]:
+        if not self.members:
+            return []
+        if self.stack is None:
+            self.n, self.part = (np.array([m[c] for m in self.members]) for c in (1, 2))
+            self.stack = np.stack([m[3] for m in self.members])
+        same = self.stack == registers
+        shared = same[:, :self.bands * self.rows].reshape(len(same), self.bands, self.rows).all(axis=2)
+        keep = (shared.argmax(axis=1) == band_no) & (self.part != part)
+        if keep.any():
+            keep[keep] = may_link(same[keep].sum(axis=1), self.n[keep], np.full(keep.sum(), n), self.similarity, LEFT_OVER_MARGIN)
+        out = []
+        for at in np.flatnonzero(keep).tolist():
+            other, _, other_part, _, other_set = self.members[at]
+            a, b = self.top(part), self.top(other_part)
+            if a == b:
+                continue
+            small, large = (shingles, other_set) if len(shingles) <= len(other_set) else (other_set, shingles)
+            if not len(small):
+                continue
+            place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            both = int((large[place] == small).sum())
+            if 100 * both >= self.percent * (len(small) + len(large) - both):
+                self.above[a] = b
+                out.append((min(doc, other), max(doc, other)))
+        return out
+
+
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc, n_shingles, component, by the ids that stand in for missing ones.
 
@@ -302,7 +366,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     stars = groups.filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     links = written(confirmed(passing_pairs(stars, nodes, similarity), texts, k, percent), "links")
     labels = components(links)
-    more = written(confirmed(left_over_pairs(groups, nodes, labels, rows, similarity), texts, k, percent), "links")
+    more = written(left_over_links(groups, texts, labels, rows, similarity, k, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
