@@ -200,7 +200,7 @@ def text_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(shingles[a:b])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, most: int = 4096) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, most: int = 256) -> DataFrame:
     """The (a, b), of ``docs`` (doc, text), with 100 * intersection >= percent * union on the full sets.
 
     The members of a hub ``a`` are dealt to parts of about ``most``; each part gets the hub's text once, sorted before its members.
