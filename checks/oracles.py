@@ -280,6 +280,9 @@ ORACLES: dict[str, str] = {
         "SELECT listing_id, string_agg(w, '|' ORDER BY ix) AS keywords FROM d GROUP BY listing_id"),
     "matches_keywords": with_([LISTINGS], f"""SELECT listing_id,
         {S.any_of("lower(title || chr(10) || description)", [k.lower() for k in split_keywords(KEYWORDS)])} AS hit FROM listings"""),
+    "keyword_table": with_([LISTINGS, ("phrases", """SELECT DISTINCT lower(regexp_extract(text, '^[a-zA-Z]+ [a-zA-Z]+', 0)) AS keyword FROM documents
+        WHERE text IS NOT NULL AND trim(regexp_extract(text, '^[a-zA-Z]+ [a-zA-Z]+', 0)) <> ''""")],
+        """SELECT listing_id, count(*) AS hits FROM listings, phrases WHERE contains(lower(title || chr(10) || description), keyword) GROUP BY listing_id"""),
     "is_contract": with_([LISTINGS, ("c", f"""SELECT listing_id, {S.contract_rule('title', 'description', 'job_type', '[location]',
         'company', 'source')} AS rule FROM listings""")], "SELECT listing_id, rule IS NOT NULL AS is_contract, rule FROM c"),
     "robots_allowed": with_([LISTINGS, ROBOTS,
@@ -409,3 +412,7 @@ ORACLES: dict[str, str] = {
     "progress_upsert_stream": with_([PROGRESS, RUNS], "SELECT * FROM runs"),
     "ingest_stream": with_([*STATE, BATCH, *upsert("state", "batch")], "SELECT * FROM merged"),
 }
+# The bucketed table answers as the plain operators do.
+for _name, _same in [("bucketed_upsert", "upsert_listings"), ("merge_on_read", "upsert_listings"), ("bucketed_reviews", "apply_reviews"),
+                     ("bucketed_delete", "mark_deleted"), ("bucketed_lookup", "lookup")]:
+    ORACLES[_name] = ORACLES[_same]

@@ -20,11 +20,13 @@ from listmill.functions import text as T
 from listmill.functions import urls as U
 from listmill.functions.classify import contract_rule
 from listmill.operators import crawl, listing, merge, rank, report
+from listmill.operators.keywords import keyword_hits
 from listmill.plans.scrape import scrape
 from listmill.plans.search import Feed, search
 from listmill.schema import EVENT
 from listmill.session import work_dir
 from listmill.sources import feeds, pages, snapshot
+from listmill.sources.listing_table import ListingTable
 from listmill.streaming import progress as prog
 from listmill.streaming.ingest import ingest
 from listmill.streaming.reviews import review_stream
@@ -248,6 +250,14 @@ def matches_keywords(spark, sf):
     return I.listings(spark, sf).select("listing_id", hit.alias("hit"))
 
 
+@query
+def keyword_table(spark, sf):
+    """How many of a table of phrases, the first two words of every document, each listing's title and description hold."""
+    phrases = I.table(spark, sf, "documents").select(F.regexp_extract("text", "^[a-zA-Z]+ [a-zA-Z]+", 0).alias("keyword"))
+    texts = I.listings(spark, sf).select(F.col("listing_id").alias("id"), F.concat("title", F.lit("\n"), "description").alias("text"))
+    return keyword_hits(texts, phrases).groupBy(F.col("id").alias("listing_id")).agg(F.count("*").alias("hits"))
+
+
 @query
 def is_contract(spark, sf):
     rule = contract_rule(F.col("title"), F.col("description"), job_type=F.col("job_type"),
@@ -402,6 +412,54 @@ def mark_deleted(spark, sf):
     return merge.mark_deleted(I.state(spark, sf), ids, F.lit(NOW)).select("id", "status", "updated_at")
 
 
+def _table(spark, sf):
+    table = ListingTable(spark, work_dir(spark, "table"))
+    table.load(I.state(spark, sf))
+    return table
+
+
+@query
+def bucketed_upsert(spark, sf):
+    """The upsert in a bucketed table: a run that is merged into the buckets it touches."""
+    table = _table(spark, sf)
+    table.upsert(I.batch(spark, sf), F.lit(NOW))
+    table.settle()
+    return table.read()
+
+
+@query
+def merge_on_read(spark, sf):
+    """The same batch in three runs that are folded and merged when the table is read."""
+    table = _table(spark, sf)
+    table.fan = 2
+    place = F.pmod(F.xxhash64(merge.merge_key()), F.lit(3))
+    for i in range(3):
+        table.upsert(I.batch(spark, sf).where(place == i), F.lit(NOW))
+        table.compact()
+    return table.read()
+
+
+@query
+def bucketed_reviews(spark, sf):
+    table = _table(spark, sf)
+    table.review(merge.fold_actions(I.review_events(spark, sf), ["pay_rate", "notes"]))
+    table.settle()
+    return table.read()
+
+
+@query
+def bucketed_delete(spark, sf):
+    table = _table(spark, sf)
+    table.delete(I.review_events(spark, sf).where("action = 'delete'"), NOW)
+    table.settle()
+    return table.read().select("id", "status", "updated_at")
+
+
+@query
+def bucketed_lookup(spark, sf):
+    return _table(spark, sf).lookup(I.review_events(spark, sf)).select("id", "title", "status")
+
+
 @query
 def lookup(spark, sf):
     return merge.lookup(I.state(spark, sf), I.review_events(spark, sf)).select("id", "title", "status")
@@ -653,7 +711,7 @@ def progress_upsert_stream(spark, sf):
 @query
 def ingest_stream(spark, sf):
     path = work_dir(spark, "ingested")
-    snapshot.write_listings(I.state(spark, sf), path)
+    ListingTable(spark, path).load(I.state(spark, sf))
     arriving = spark.readStream.schema("doc_id bigint, text string").parquet(f"{sf}/documents*.parquet")
     rows = arriving.selectExpr(*I.split_list(I.LISTINGS)).selectExpr(*I.split_list(I.BATCH))
     return ingest(rows, path, F.lit(NOW))

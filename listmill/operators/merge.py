@@ -40,26 +40,52 @@ def upsert_listings(state: DataFrame, batch: DataFrame, now: Column, order: str
     The folded batch is written first, so its size is known: a small batch is
     broadcast and the snapshot, with its long texts, is not shuffled at all.
     """
+    return upsert_folded(state, cut_lineage(fold_batch(batch, order).withColumn("_now", now), "batch"))
+
+
+def upsert_folded(state: DataFrame, new: DataFrame) -> DataFrame:
+    """Merge rows of ``fold_batch`` or ``fold_runs``, with the time of the change in ``_now``, into the snapshot."""
     old = state.select(*V.LISTING_FIELDS)
-    new = cut_lineage(fold_batch(batch, order), "batch")
     # Which listing each key refreshes: the newest, where an edited URL made two listings share a key.
     keys = old.select(merge_key().alias("_key"), "id", "created_at").join(new.select("_key"), "_key")
     hits = cut_lineage(keys.groupBy("_key").agg(
         F.max_by("id", F.struct("created_at", "id")).alias("_id")), "hits")
     changes = cut_lineage(new.join(hits, "_key"), "changes")
     refreshed = {c: F.col(c).alias(f"_{c}") for c in V.REFRESHED_FIELDS}
-    joined = old.join(changes.select(F.col("_id").alias("id"), *refreshed.values()), "id", "left")
+    joined = old.join(changes.select(F.col("_id").alias("id"), "_now", *refreshed.values()), "id", "left")
     refresh = F.col("_title").isNotNull() & ~F.col("status").isin(V.FROZEN_STATUSES)
 
     def field(c: str) -> Column:
         if c == "updated_at":
-            return F.when(refresh, now).otherwise(F.col(c))
+            return F.when(refresh, F.col("_now")).otherwise(F.col(c))
         if c in V.REFRESHED_FIELDS:
             return F.when(refresh & (F.col(f"_{c}") != ""), F.col(f"_{c}")).otherwise(F.col(c))
         return F.col(c)
 
-    added = new.join(hits, "_key", "left_anti").select(*V.LISTING_FIELDS)
-    return joined.select(*[field(c).alias(c) for c in V.LISTING_FIELDS]).unionByName(added)
+    added = new.join(hits, "_key", "left_anti")
+    if "_runs" in new.columns:
+        added = added.select(*[_inserted(c).alias(c) for c in V.LISTING_FIELDS])
+    return joined.select(*[field(c).alias(c) for c in V.LISTING_FIELDS]).unionByName(added.select(*V.LISTING_FIELDS))
+
+
+def _inserted(c: str) -> Column:
+    """A field of a listing that several runs add and refresh: from its second run on it is a refresh, unless the first one froze it."""
+    value = F.when(F.col("_runs") > 1, F.col("_now")).otherwise(F.col(c)) if c == "updated_at" else F.col(c)
+    return F.when(F.col("_frozen").isNotNull(), F.col(f"_frozen.{c}")).otherwise(value)
+
+
+def fold_runs(runs: DataFrame) -> DataFrame:
+    """Several folded batches as one: the rows of ``fold_batch`` with ``_seq`` (the batch's place), ``_now``, ``_runs`` and ``_frozen``.
+
+    One row per key, as merging them one after the other gives: per field the last non-empty value, the
+    other fields of the first.  If the key is new and its first batch brings it in a frozen status, later batches don't
+    change it: ``_frozen`` keeps that first row.  Batches folded before may be folded again.
+    """
+    refreshed = [F.coalesce(F.expr(f"max_by({c}, _seq) FILTER (WHERE {c} <> '')"), F.lit("")).alias(c) for c in V.REFRESHED_FIELDS]
+    kept = [F.expr(f"min_by({c}, _seq)").alias(c) for c in _FIRST_KEPT]
+    own = F.coalesce("_frozen", F.when(F.col("status").isin(V.FROZEN_STATUSES), F.struct(*V.LISTING_FIELDS)))
+    return runs.withColumn("_own", own).groupBy("_key").agg(
+        *refreshed, *kept, F.max_by("_now", "_seq").alias("_now"), F.sum("_runs").alias("_runs"), F.min_by("_own", "_seq").alias("_frozen"))
 
 
 # -- reviews ------------------------------------------------------------------
@@ -87,6 +113,12 @@ def fold_actions(actions: DataFrame, patch_fields: list[str]) -> DataFrame:
         *[F.expr(f"max_by({c}, _at) FILTER (WHERE _edit AND {c} IS NOT NULL)").alias(f"_{c}") for c in fields])
 
 
+def fold_patches(runs: DataFrame) -> DataFrame:
+    """Several results of ``fold_actions``, with their place in ``_seq``, as one: per field the last value that is set."""
+    fields = [c for c in runs.columns if c not in ("id", "_seq")]
+    return runs.groupBy("id").agg(*[F.expr(f"max_by({c}, _seq) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in fields])
+
+
 def bad_reviews(actions: DataFrame) -> DataFrame:
     """A failure row per listing id and unknown status of its actions."""
     return actions.where(~F.col("status").isin(V.STATUSES)).select(

@@ -1,4 +1,4 @@
-"""Batches of listings merged into the snapshot as they arrive."""
+"""Batches of listings merged into the table as they arrive."""
 
 from __future__ import annotations
 
@@ -6,27 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 
-from listmill.operators.merge import upsert_listings
 from listmill.session import work_dir
-from listmill.sources.snapshot import has_version, read_listings, write_listings
+from listmill.sources.listing_table import ListingTable
 
 
-def ingest(sdf: DataFrame, snapshot: str, now: Column, order: str = "seq", path: str | None = None,
-           prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """Merge each micro-batch into a new snapshot version and return the newest.
+def ingest(sdf: DataFrame, table: str, now: Column, order: str = "seq", path: str | None = None,
+           prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows, settle_share: float = 0.25) -> DataFrame:
+    """Add each micro-batch to the table as a run and return the listings.
 
-    The batch id is part of the version's name, so a replayed batch is merged once.
+    A run is as large as its batch.  Runs are folded level by level, and merged into the rows once they hold more
+    than ``settle_share`` of them.  Batches are named by the stream's folder and number: a replayed one is added once.
     """
     spark = sdf.sparkSession
     path = path or work_dir(spark, "ingest-stream")
+    listings = ListingTable(spark, table)
 
     def step(rows: DataFrame, batch: int) -> None:
-        tag = f"b{batch:010d}"
-        if not has_version(spark, snapshot, tag):
-            merged = upsert_listings(read_listings(spark, snapshot), prepare(rows), now, order)
-            write_listings(merged, snapshot, tag)
+        listings.upsert(prepare(rows), now, order, name=path, number=batch)
+        listings.compact()
+        listings.settle_at(settle_share)
 
     query = (sdf.writeStream.queryName("ingest").foreachBatch(step)
              .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    return read_listings(spark, snapshot)
+    return listings.read()
