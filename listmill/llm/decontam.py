@@ -2,20 +2,20 @@
 
 Items and documents are sequences of 5-word shingles (A-Z lower-cased, punctuation at the
 ends of words left out).  Items fall into size classes.  Every document is cut into windows
-of each class's size, one at every ``STRIDE``-th shingle, and every item into windows of its
-class's size at ``STRIDE`` offsets in a row, so a copy of the item, wherever it stands, has a
+of each class's size, at every ``stride``-th shingle of that size, and every item into windows of its
+class's size at as many offsets in a row, so a copy of the item, wherever it stands, has a
 document window with the same shingles as one of the item's.  A window's fingerprint is 64
 bits, each the sign of a sum over its shingles, from prefix sums.
 
-Fingerprints meet in an index of ``BLOCKS`` blocks of bits.  The items' side holds all block
-values at most one bit away, so any two fingerprints within 2 * BLOCKS - 1 bits meet in some
-block: all of them are found, none by chance.
+Fingerprints meet in an index of ``BLOCKS`` blocks of bits.  Two that differ in fewer bits than there are blocks agree
+in a whole block, and two that differ in fewer than twice as many differ by one bit at most in some block, whose
+neighbours the items' side holds too.  So all fingerprints within the radius are found, none by chance.
 
-A copy at the least similarity may be further away than that.  But each break in it (a changed,
+A copy at the least similarity may be further away than that as a whole.  But each break in it (a changed,
 lost, added or moved word) costs four shingles or more, so it has few, and between two of them
-a long run is untouched (``least_run``).  Items therefore also have short windows at all their
-offsets, so long that such a run holds a whole window of the documents; those have equal
-fingerprints.  The bound needs breaks whose own shingles are not in the item: texts that say
+a long run is untouched (``least_run``).  Items therefore are also cut into overlapping part windows, at all their
+offsets and so long that such a run holds a whole part window of the documents; parts are looked up within
+``PART_RADIUS`` bits.  The bound needs breaks whose own shingles are not in the item: texts that say
 one phrase over and over may have more of them.
 
 What is found is aligned with its item and verified by the exact similarity of the multisets
@@ -33,11 +33,13 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ from listmill.llm.shared import ship, text_chunks, text_column, without_rows, wr
 from listmill.llm.words import LOWER, mix, shingle_hashes, span_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
-STRIDE, BLOCKS, BLOCK_BITS = 4, 4, 16
-RADIUS = 2 * BLOCKS - 1
+BLOCKS, BLOCK_BITS = 4, 16
+RADIUS, PART_RADIUS = 2 * BLOCKS - 1, BLOCKS - 1
 GROWTH = 1.25  # from one size class to the next
-RUN_SIZES = (1, 2, 3, 4, 6, 9, 13)  # of the short windows
+PART_SIZES = (1, 2, 3, 4, 6, 9, 13, 18, 25)
 ITEM_BLOCK = 20_000
 #: Marks that are no part of a word's key when they stand at its ends.
 MARKS = np.zeros(256, bool)
@@ -79,15 +81,30 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams[whole], np.concatenate(([0], np.cumsum(np.maximum(n - SHINGLE + 1, 0))))
 
 
+def stride(size: int) -> int:
+    """Shingles from one of a document's windows to the next."""
+    return max(1, size // 4)
+
+
+def part_stride(size: int) -> int:
+    return max(1, size - 1)
+
+
 def size_class(n: int) -> int:
     """The largest class whose windows fit into n shingles at all offsets; 0 if there is none."""
     size, best = 1.0, 0
-    while int(size) + STRIDE - 1 <= n:
+    while int(size) + stride(int(size)) - 1 <= n:
         best = int(size)
         size = max(size * GROWTH, int(size) + 1)
     return best
 
 
+def part_size(n: int, similarity: float) -> int:
+    """The largest part window of which every long run of a copy of ``n`` shingles holds a whole one."""
+    run = least_run(n, similarity)
+    return max((w for w in PART_SIZES if w + part_stride(w) - 1 <= run), default=1)
+
+
 def least_run(n: int, similarity: float) -> int:
     """Shingles in the longest untouched run of any copy of an item of ``n`` shingles with that similarity.
 
@@ -97,17 +114,18 @@ def least_run(n: int, similarity: float) -> int:
     return min(math.ceil(math.ceil(similarity * (n + f) - 1e-9) / (f // (SHINGLE - 1) + 1)) for f in range(most + 1))
 
 
-def sign_sums(grams: np.ndarray) -> np.ndarray:
-    """Prefix sums of the bits as +1 and -1, one row more than there are shingles; differences are exact up to 32767."""
-    bits = np.unpackbits(grams.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
-    sums = np.zeros((len(grams) + 1, 64), np.int32)
-    np.cumsum(bits * 2 - 1, axis=0, dtype=np.int32, out=sums[1:])
+def bit_sums(grams: np.ndarray, widest: int) -> np.ndarray:
+    """Prefix counts of the bits, one row more than there are shingles; differences over up to ``widest`` shingles are exact, as counts wrap around."""
+    kind = np.uint8 if widest < 1 << 8 else np.uint16 if widest < 1 << 16 else np.uint32
+    bits = np.unpackbits(grams.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.zeros((len(grams) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])
     return sums
 
 
 def fingerprints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The fingerprints of the windows of ``size`` shingles that begin at ``at``."""
-    return np.packbits(sums[at + size] > sums[at], axis=1).view("<u8").reshape(-1)
+    """The fingerprints of the windows of ``size`` shingles that begin at ``at``: the bits that more than half of them have."""
+    return np.packbits(sums[at + size] - sums[at] > size // 2, axis=1).view("<u8").reshape(-1)
 
 
 def grid(n: np.ndarray, first: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,21 +137,24 @@ def grid(n: np.ndarray, first: np.ndarray, size: int, step: int) -> tuple[np.nda
 
 
 class Index:
-    """Fingerprints of one size class by blocks; ``find`` gives all pairs within the radius."""
+    """Fingerprints of one size class by blocks; ``find`` gives all pairs within the radius.
+
+    With ``neighbours`` it also holds the values that differ by one bit in a block, and the radius is twice as wide.
+    """
 
-    def __init__(self, prints: np.ndarray, owners: np.ndarray):
-        self.prints, self.owners = prints, owners
+    def __init__(self, prints: np.ndarray, owners: np.ndarray, neighbours: bool = True):
+        self.prints, self.owners, self.radius = prints, owners, RADIUS if neighbours else PART_RADIUS
         self.tables = []
-        one_off = np.concatenate(([0], 1 << np.arange(BLOCK_BITS))).astype(np.uint64)
+        off = np.concatenate(([0], 1 << np.arange(BLOCK_BITS if neighbours else 0))).astype(np.uint64)
         for block in range(BLOCKS):
             own = (prints >> np.uint64(block * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)
-            near = (own[:, None] ^ one_off[None, :]).ravel().astype(np.int64)
+            near = (own[:, None] ^ off[None, :]).ravel().astype(np.int64)
             order = np.argsort(near, kind="stable")
             starts = np.searchsorted(near[order], np.arange((1 << BLOCK_BITS) + 1))
-            self.tables.append((starts.astype(np.int64), np.repeat(np.arange(len(prints)), len(one_off))[order]))
+            self.tables.append((starts.astype(np.int32), np.repeat(np.arange(len(prints)), len(off))[order]))
 
     def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in ``prints``, places in the index) of all pairs within RADIUS bits."""
+        """(places in ``prints``, places in the index) of all pairs within the radius."""
         found = []
         for block, (starts, entries) in enumerate(self.tables):
             value = ((prints >> np.uint64(block * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
@@ -145,7 +166,7 @@ class Index:
             left = np.repeat(hit, many)
             inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             right = entries[np.repeat(starts[value[hit]], many) + inner]
-            near = np.bitwise_count(prints[left] ^ self.prints[right]) <= RADIUS
+            near = np.bitwise_count(prints[left] ^ self.prints[right]) <= self.radius
             found.append(left[near] * len(self.prints) + right[near])
         pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
@@ -159,66 +180,43 @@ class Benchmark:
         self.items: list[tuple[int, np.ndarray, np.ndarray]] = []  # id, distinct shingles, counts
         self.sizes: list[int] = []
         self.least = similarity
-        classes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        runs: dict[int, list[np.ndarray]] = defaultdict(list)
+        classes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # fingerprint, item, offset
+        parts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         row = 0
         for a, b, data, offsets in text_chunks(column):
             grams, first = shingles(data, offsets)
-            sums = sign_sums(grams)
+            sums = bit_sums(grams, int(np.diff(first).max(initial=1)))
             for k in range(b - a):
                 own = grams[first[k]:first[k + 1]]
                 if len(own):
                     size = size_class(len(own))
-                    at = np.arange(STRIDE if size else 1)
-                    spread = sorted({0, max(0, len(own) - size - STRIDE + 1), max(0, (len(own) - size - STRIDE + 1) // 2)}) if size else [0]
-                    for base in spread:
-                        for p, x in zip(at, fingerprints(sums, first[k] + base + at, size or len(own))):
-                            classes[size].append((int(x), len(self.items), base + int(p)))
-                    short = max((w for w in RUN_SIZES if w + STRIDE - 1 <= least_run(len(own), similarity)), default=0)
-                    if short:
-                        at = np.arange(len(own) - short + 1)
-                        runs[short].append(np.stack([fingerprints(sums, first[k] + at, short), np.full(len(at), len(self.items), np.uint64), at.astype(np.uint64)]))
+                    last = len(own) - size - stride(size) + 1
+                    at = first[k] + np.array(sorted({base + i for base in (0, last // 2, last) for i in range(stride(size))}))
+                    classes[size] += [(int(x), len(self.items), int(p - first[k])) for x, p in zip(fingerprints(sums, at, size), at)]
+                    part = part_size(len(own), similarity)
+                    at = first[k] + np.arange(len(own) - part + 1)
+                    parts[part] += [(int(x), len(self.items), int(p - first[k])) for x, p in zip(fingerprints(sums, at, part), at)]
                     self.items.append((ids[row], *np.unique(own, return_counts=True)))
                     self.sizes.append(len(own))
                 row += 1
-        self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # fingerprints in order, (item, offset)
-        for size, parts in runs.items():
-            joined = np.concatenate(parts, axis=1)
-            order = np.argsort(joined[0], kind="stable")
-            self.runs[size] = joined[0][order], joined[1:, order].astype(np.int64)
-        self.small = {len_ for i, len_ in enumerate(self.sizes) if not size_class(len_)}
-        self.indexes: dict[int, Index] = {}
-        for size, rows in classes.items():
-            if size:
-                self.indexes[size] = Index(np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64))
-        # items too small for a grid of windows are windows of their own size, at every place
-        by_size: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for r in classes.get(0, []):
-            by_size[self.sizes[r[1]]].append(r)
-        self.exact = {n: Index(np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64)) for n, rows in by_size.items()}
-
-    def candidates(self, sums: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, start of the item in the joined shingles) of all windows within the radius, and of all equal short ones."""
-        n = np.diff(first)
-        for size, (prints, owners) in self.runs.items():
-            text, at = grid(n, first, size, STRIDE)
+
+        def indexed(rows: list[tuple[int, int, int]], neighbours: bool) -> Index:
+            return Index(np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64), neighbours)
+
+        self.indexes = [(size, stride(size), indexed(rows, True)) for size, rows in sorted(classes.items())]
+        self.widest = max([1, *classes])
+        self.indexes += [(size, part_stride(size), indexed(rows, False)) for size, rows in sorted(parts.items())]
+
+    def candidates(self, sums: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(text, item, start of the item in the joined shingles) of all windows within the radius, each once."""
+        n, out = np.diff(first), []
+        for size, step, index in self.indexes:
+            text, at = grid(n, first, size, step)
             for lot in range(0, len(at), 1 << 15):
-                own = fingerprints(sums, at[lot:lot + (1 << 15)], size)
-                low = np.searchsorted(prints, own)
-                hit = np.flatnonzero(prints[np.minimum(low, len(prints) - 1)] == own)
-                count = np.searchsorted(prints, own[hit], "right") - low[hit]
-                left = np.repeat(hit, count)
-                right = np.repeat(low[hit], count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-                found = np.stack([text[lot + left], owners[0][right], at[lot + left] - owners[1][right]], axis=1)
-                yield from map(tuple, np.unique(found, axis=0).tolist())
-        for step, indexes in ((STRIDE, self.indexes), (1, self.exact)):
-            for size, index in indexes.items():
-                text, at = grid(n, first, size, step)
-                for lot in range(0, len(at), 1 << 15):
-                    left, right = index.find(fingerprints(sums, at[lot:lot + (1 << 15)], size))
-                    for i, j in zip((left + lot).tolist(), right.tolist()):
-                        item, offset = index.owners[j]
-                        yield int(text[i]), int(item), int(at[i] - offset)
+                left, right = index.find(fingerprints(sums, at[lot:lot + (1 << 15)], size))
+                if len(left):
+                    out.append(np.stack([text[lot + left], index.owners[right, 0], at[lot + left] - index.owners[right, 1]], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
 
     def verify(self, item: int, start: int, grams: np.ndarray, low: int, high: int) -> tuple[float, int]:
         """The best similarity at a start up to the item's length from ``start`` within the text [low, high), and the first such start."""
@@ -253,6 +251,18 @@ class Benchmark:
         return best
 
 
+_HELD: dict[tuple[str, float], Benchmark] = {}
+
+
+def held_benchmark(shared: Broadcast, similarity: float) -> Benchmark:
+    """The index of a broadcast block; a worker builds it once and keeps the last one."""
+    key = (shared.value[2], similarity)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Benchmark(*shared.value[:2], similarity)
+    return _HELD[key]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, text_hash, similarity, first_shingle): the best place of each item in each document that holds it.
 
@@ -264,19 +274,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     schema = "doc_id bigint, item_id bigint, text_hash bigint, similarity double, first_shingle bigint"
     out = None
     for items in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast((*items, uuid.uuid4().hex))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(*shared.value, similarity)
+            bench = held_benchmark(shared, similarity)
             for batch in batches:
                 for a, _, data, offsets in text_chunks(text_column(batch), 1 << 18):
                     grams, first = shingles(data, offsets)
                     best: dict[tuple[int, int], tuple[float, int]] = {}
-                    seen = set()
-                    for text, item, start in bench.candidates(sign_sums(grams), first):
-                        if (text, item, start) in seen:
-                            continue
-                        seen.add((text, item, start))
+                    for text, item, start in bench.candidates(bit_sums(grams, bench.widest), first).tolist():
                         value, at = bench.verify(item, start, grams, int(first[text]), int(first[text + 1]))
                         at -= int(first[text])
                         known = best.get((text, item), (0.0, 0))
