@@ -6,11 +6,14 @@ Tasks count their n-grams in sorted arrays and pass on partial counts; all count
 continuation counts, discounts and interpolated probabilities are made by Spark.
 
 Models are kept apart by a group (a language, or target and background).  A level keeps
-the n-grams that have at least ``share`` of all counts of the level, over all groups, and
-those that are the contexts of such a share of the next level's counts.  At most 1/share
-can be either, so a stored model has at most 2 * order/share entries of 16 bytes, whatever
-the corpus; that is what is sent to the driver and broadcast.  Others back off, with the
+the n-grams that have at least ``share`` of the counts of the level in their own group, and
+those that are the contexts of such a share of the next level's counts, so a small group's model is pruned no
+more than a large one's.  At most 1/share can be either, so the stored model of a group has at most 2 * order/share
+entries of 16 bytes, whatever the corpus; that is what is sent to the driver and broadcast.  Others back off, with the
 weights of the full counts.
+
+Facts of a group (discounts, totals) are written first: Spark then knows how small they are, and the tables of n-grams
+aren't dealt by group.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from listmill.llm.words import mix
 
 SHARE = 2.0**-18
 LEAST_WEIGHT = 1e-9  # of backing off, so that nothing is impossible
-FLUSH = 1 << 21  # distinct n-grams a task holds before it passes them on
+FLUSH = 1 << 20  # distinct n-grams a task holds before it passes some on
 #: Discounts for a level with too few counts to estimate them.
 PLAIN_DISCOUNTS = (0.5, 1.0, 1.5)
 
@@ -65,8 +68,11 @@ def add_counts(held: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) ->
     return every[edge], np.add.reduceat(counts, edge)
 
 
-def count_ngrams(docs: DataFrame, tokenise: Tokenise, order: int, bits: int) -> DataFrame:
-    """(grp, gram, c) of all texts of (grp, text); a row of several groups has them in an array."""
+def partial_counts(docs: DataFrame, tokenise: Tokenise, order: int, bits: int, keep: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
+    """(grp, gram, c): each task's counts over (grps, text, ...); a row of several groups has them in an array.
+
+    ``keep`` chooses rows.  A task holds FLUSH distinct n-grams over all groups and passes the largest group on beyond that.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -76,6 +82,8 @@ def count_ngrams(docs: DataFrame, tokenise: Tokenise, order: int, bits: int) ->
             return pa.RecordBatch.from_arrays([names, pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["grp", "gram", "c"])
 
         for batch in batches:
+            if keep is not None:
+                batch = batch.filter(pa.array(keep(batch)))
             groups = batch.column(0).to_pylist()
             texts = text_column(batch)
             for key in set(map(tuple, groups)):
@@ -87,14 +95,18 @@ def count_ngrams(docs: DataFrame, tokenise: Tokenise, order: int, bits: int) ->
                     grams = pack(tokens, first, order, bits)
                     for grp in key:
                         held[grp] = add_counts(held.get(grp), grams)
-                        if len(held[grp][0]) > FLUSH:
-                            yield out(grp)
+                    while sum(len(k) for k, _ in held.values()) > FLUSH:
+                        yield out(max(held, key=lambda g: len(held[g][0])))
         for grp in list(held):
             yield out(grp)
 
     ship(docs.sparkSession)
-    parts = docs.select("grps", "text").mapInArrow(count, "grp string, gram bigint, c bigint")
-    return parts.groupBy("grp", "gram").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(count, "grp string, gram bigint, c bigint")
+
+
+def count_ngrams(docs: DataFrame, tokenise: Tokenise, order: int, bits: int) -> DataFrame:
+    """(grp, gram, c) of all texts of (grps, text)."""
+    return partial_counts(docs.select("grps", "text"), tokenise, order, bits).groupBy("grp", "gram").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -120,10 +132,10 @@ def kneser_ney(counts: DataFrame, order: int, bits: int, symbols: int, share: fl
     levels = {order: written(counts, "ngrams")}
     for n in range(order - 1, 0, -1):
         levels[n] = written(levels[n + 1].groupBy("grp", low(n).alias("gram")).agg(F.count("*").alias("c")), "ngrams")
-    lower, stored, weights, least = None, {}, {}, {}
+    lower, stored, weights, totals = None, {}, {}, {}
     for n in range(1, order + 1):
         taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = levels[n].join(_discounts(levels[n]), "grp").select(
+        level = levels[n].join(written(_discounts(levels[n]), "discounts"), "grp").select(
             "grp", "gram", "c", taken.alias("d"), F.shiftright("gram", bits).alias("context"), low(n - 1).alias("suffix"))
         contexts = written(level.groupBy("grp", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("held")).select(
             "grp", "context", "total", F.greatest(F.col("held") / F.col("total"), F.lit(LEAST_WEIGHT)).alias("gamma")), "contexts")
@@ -136,15 +148,17 @@ def kneser_ney(counts: DataFrame, order: int, bits: int, symbols: int, share: fl
             rest = F.col("_rest")
         level = level.select("grp", "gram", "c", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * rest).alias("p"))
         lower = written(level, "levels")
-        least[n] = (lower.agg(F.sum("c")).first()[0] or 0) * share
+        totals[n] = written(lower.groupBy("grp").agg((F.sum("c") * share).alias(f"least{n}")), "totals")
         stored[n] = lower.select("grp", "gram", "c", "p")
     out = weights[1].select("grp", F.lit(0).alias("n"), F.lit(0).cast("long").alias("gram"),
                             F.lit(-np.log(symbols)).cast("float").alias("logp"), F.log("gamma").cast("float").alias("backoff"))
     for n, rows in stored.items():
-        keep, gamma = F.col("c") >= least[n], F.lit(1.0)
+        rows = rows.join(totals[n], "grp", "left")
+        keep, gamma = F.coalesce(F.col("c") >= F.col(f"least{n}"), F.lit(False)), F.lit(1.0)
         if n < order:  # contexts that begin before the text are no n-grams of their level, but have a weight
-            rows = rows.join(weights[n + 1].select("grp", F.col("context").alias("gram"), "gamma", "total"), ["grp", "gram"], "full")
-            keep, gamma = F.coalesce(keep, F.lit(False)) | (F.coalesce("total", F.lit(0)) >= least[n + 1]) & F.col("total").isNotNull(), F.coalesce("gamma", F.lit(1.0))
+            after = weights[n + 1].join(totals[n + 1], "grp").select("grp", F.col("context").alias("gram"), "gamma", (F.col("total") >= F.col(f"least{n + 1}")).alias("context"))
+            rows = rows.join(after, ["grp", "gram"], "full")
+            keep, gamma = keep | F.coalesce("context", F.lit(False)), F.coalesce("gamma", F.lit(1.0))
         out = out.union(rows.filter(keep).select("grp", F.lit(n).alias("n"), "gram", F.log("p").cast("float").alias("logp"), F.log(gamma).cast("float").alias("backoff")))
     return out
 
@@ -209,7 +223,7 @@ class Model:
 
 
 def load_models(rows: DataFrame, order: int, bits: int, symbols: int) -> dict[str, Model]:
-    """The stored model of every group on the driver: at most 2 * order/share entries."""
+    """The stored model of every group on the driver: at most 2 * order/share entries each."""
     got = rows.toArrow().combine_chunks()
     names = got["grp"].combine_chunks().dictionary_encode()
     group, level, gram, logp, backoff = (x.to_numpy(zero_copy_only=False) for x in (names.indices, *(got[c].combine_chunks() for c in ("n", "gram", "logp", "backoff"))))

@@ -73,6 +73,18 @@ def test_quality_rejects_what_the_language_does_not_look_like(crowd):
     assert sum(not r.kept for i, r in rows.items() if i != 77) <= 3
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_random_characters_of_a_small_language_are_rejected(spark):
+    """What a language's model has counted itself would look best predicted; the other half's model hasn't."""
+    random.seed(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(10**6 + i, " ".join("".join(chr(random.randrange(34, 127)) for _ in range(6)) for _ in range(100)), "es" if i % 3 == 0 else "en") for i in range(90)]
+    rows = quality.judge_quality(docs.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))).collect()
+    assert not [r for r in rows if r.doc_id >= 10**6 and r.kept]
+    clean = [r for r in rows if r.doc_id < 10**6 and not r.base_failed]
+    assert sum(r.kept for r in clean) > 0.9 * len(clean)
+
+
 def test_copies_do_not_set_the_band(crowd):
     """One text in over three quarters of a language's rows leaves all results as they are without its copies."""
     one = crowd.filter("lang = 'de' AND doc_id = 0")
@@ -91,6 +103,18 @@ def test_kept_documents_have_all_columns(docs, none):
     assert quality.judge_quality(none).count() == 0 and quality.kept_documents(none).count() == 0
 
 
+def test_the_filter_of_repeated_hashes_misses_none(spark):
+    rows = spark.range(5000).select(F.xxhash64((F.col("id") % 4000)).alias("h"))
+    bits = quality.repeated_filter(rows, 16)
+    assert bits.dtype == np.int64 and len(bits) == 1 << 10
+    again = rows.groupBy("h").count().select(F.array(*[F.pmod(F.xxhash64("h", F.lit(s)), F.lit(1 << 16)) for s in range(quality.FILTER_PROBES)]).alias("at"), "count").collect()
+    hit = {r["count"]: [] for r in again}
+    for r in again:
+        hit[r["count"]].append(all((int(bits[p >> 6]) >> (p & 63)) & 1 for p in r["at"]))
+    assert all(hit[2]) and sum(hit[1]) < 0.1 * len(hit[1])
+    assert not quality.repeated_filter(rows.filter("h is null"), 16).any()
+
+
 # -- lines -----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2)])
@@ -435,6 +459,7 @@ def test_mix_on_odd_rows(docs, none):
     assert all(r.taken <= 2 * r.size for r in rows)
     mixed = mixing.mixed_documents(docs, WEIGHTS)
     assert mixed.columns == docs.columns
+    assert mixing.mixed_documents(docs.withColumn("_copy", F.lit("own")), WEIGHTS).filter("_copy = 'own'").count() == mixed.count()
     assert sum(len(odd.words(r.text)) for r in mixed.collect()) == sum(r.taken for r in rows)
     assert mixing.mix_sources(none, WEIGHTS).count() == 0 and mixing.mixed_documents(none, WEIGHTS).count() == 0
 
