@@ -27,7 +27,7 @@ index a block, and never joined with the documents as a whole.  Documents are re
 
 Nulls: a null text matches nothing; items with fewer than five words match nothing, as one
 shingle would be their all.  Repeated items are found under each id, repeated rows under each row.
-An empty table gives an empty result.
+Very long texts are searched whole.  An empty table gives an empty result.  ``clean_documents`` keeps all columns; others read doc_id, item_id and text.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ document owns are brought together with its text once, in a join on the id.
 Nulls: a null or empty text is one empty line; a row with a null id is a document behind
 all others, one with other such rows of its text.  Rows with the same id are one document to the owner rule.  Lines are kept with
 their bytes unchanged.  An empty table gives an empty result.
+Very long texts are split whole, line by line; equal lines of one document are one key.  Other columns aren't read.
 """
 
 from __future__ import annotations

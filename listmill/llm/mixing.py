@@ -13,7 +13,8 @@ of the rows, and no task holds a source.
 Nulls: a null text has size 0; a null source is a source of its own, last in order.
 A null id is an id like any other.  Rows that are the same in id, source and size wait
 as one and get the same numbers.  Documents of size 0 are never taken.
-An empty table gives an empty result.
+A very long text is a document of its size, taken whole or not at all; equal finish times go by source, epoch, shuffle key and id.
+An empty table gives an empty result.  ``mix_sources`` reads doc_id, text and source; ``mixed_documents`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -116,5 +117,6 @@ def mixed_documents(docs: DataFrame, weights: list[float], share: float = 1.5, e
         (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
     same = (F.col("d.doc_id").eqNullSafe(F.col("p._id")) & F.col("d.source").eqNullSafe(F.col("p._of"))
             & (word_count(F.col("d.text")) == F.col("p._words")))
+    copy = column_name(docs, "_copy")
     return docs.alias("d").join(plan.alias("p"), same).select(
-        *[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p._times"))).alias("_copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        *[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p._times"))).alias(copy)).select(*[F.col(f"`{c}`") for c in docs.columns])

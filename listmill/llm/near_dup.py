@@ -30,7 +30,8 @@ merge joins at every size.
 Nulls: a null, empty or white-space text has no shingles, is linked with nothing and kept.
 A row with a null id is a document behind all others, one with other such rows of its text, and
 gives a null component unless it is linked to a real id.  Rows with the same id are one document.  Repeated rows are all
-returned with the same result.  Other columns aren't read.
+returned with the same result.  Very long texts are sets of all their shingles; a pair at exactly the threshold is linked.  An
+empty table gives an empty result.  Other columns aren't read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ through the library whole.
 
 Nulls: a null text is the empty text, which is the end id alone; a null id comes last.
 Repeated rows are encoded one by one, in the order of their texts.  An empty table
-gives an empty result.  Columns other than doc_id and text are not read.
+gives an empty result.  Very long texts are encoded whole.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

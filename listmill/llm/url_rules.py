@@ -13,7 +13,7 @@ rule fits is blocked.
 Nulls: a null URL, or one without ``://``, has an empty host and path, no tokens, no rule and is
 allowed.  A label without an id labels nothing; labels of one id that disagree count as bad.
 Repeated rows get the same result each.  Without labels no rules are mined.  An empty table
-gives an empty result.
+gives an empty result.  Of rules that fit equally well the one that sorts last counts.  Only page_id, url, id and bad are read.
 """
 
 from __future__ import annotations
