@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listmill.llm.shared import written
+from listmill.llm.shared import column_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
