@@ -222,7 +222,10 @@ def low_check(name: str, fn) -> str:
     return with_(BLOB, f"SELECT listing_id, {fn('low')} AS {name} FROM b")
 
 
-LINKS = [("l", I.select(I.LINK_FORMS, "pages")),
+LINKS = [("lv", f"SELECT page_id, url, {S.hide('html')} AS v FROM pages"),
+         ("la", rf"""SELECT page_id, url, {S.strip(S.unescape('h'))} AS href FROM (SELECT page_id, url,
+            unnest(regexp_extract_all(v, '(?i)<a\s[^>]*href="([^"]*)"[^>]*>', 1)) AS h FROM lv)"""),
+         ("l", I.select(I.LINK_FORMS, "pages") + " UNION ALL SELECT page_id, url, href FROM la"),
          ("r", f"SELECT *, {S.resolve('url', 'href')} AS link FROM l"),
          ("f", f"SELECT *, lower({S.netloc('link')}) AS host, rtrim({S.path('link')}, '/') AS p FROM r")]
 
@@ -267,8 +270,8 @@ ORACLES: dict[str, str] = {
         unnest(regexp_extract_all(v, '(?is)<a\s[^>]*href="[^"]*"[^>]*>(.*?)(?:</a\s*>|$)', 1)) AS body,
         unnest(range(1, len(regexp_extract_all(v, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>', 1)) + 1)) AS ix FROM seen)"""),
     "resolve_href": with_(LINKS, "SELECT page_id, href, link FROM f"),
-    "is_job_link": with_(LINKS, f"SELECT page_id, CASE WHEN link IS NOT NULL THEN {S.job_rule('host', 'p')} END AS rule FROM f"),
-    "same_site": with_(LINKS, f"""SELECT page_id, {S.same_site(f"lower({S.netloc('url')})", 'host')} AS same_site FROM f
+    "is_job_link": with_(LINKS, f"SELECT page_id, href, CASE WHEN link IS NOT NULL THEN {S.job_rule('host', 'p')} END AS rule FROM f"),
+    "same_site": with_(LINKS, f"""SELECT page_id, href, {S.same_site(f"lower({S.netloc('url')})", 'host')} AS same_site FROM f
         WHERE link IS NOT NULL"""),
     "job_links": with_([BOARD_PAGES, *S.link_ctes("board_pages", "k", 80)], "SELECT page_id, pos, link FROM k"),
     "job_links_limited": with_([BOARD_PAGES, *S.link_ctes("board_pages", "k", 2)], "SELECT page_id, pos, link FROM k"),
@@ -414,5 +417,5 @@ ORACLES: dict[str, str] = {
 }
 # The bucketed table answers as the plain operators do.
 for _name, _same in [("bucketed_upsert", "upsert_listings"), ("merge_on_read", "upsert_listings"), ("bucketed_reviews", "apply_reviews"),
-                     ("bucketed_delete", "mark_deleted"), ("bucketed_lookup", "lookup")]:
+                     ("bucketed_delete", "mark_deleted"), ("bucketed_lookup", "lookup"), ("queue_slice_page", "queue_page")]:
     ORACLES[_name] = ORACLES[_same]

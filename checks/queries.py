@@ -27,6 +27,7 @@ from listmill.schema import EVENT
 from listmill.session import work_dir
 from listmill.sources import feeds, pages, snapshot
 from listmill.sources.listing_table import ListingTable
+from listmill.sources.queue_slices import QueueSlices
 from listmill.streaming import progress as prog
 from listmill.streaming.ingest import ingest
 from listmill.streaming.reviews import review_stream
@@ -200,24 +201,30 @@ def extract_anchors(spark, sf):
     return pages.page_anchors(I.board_pages(spark, sf)).drop("url")
 
 
+def _hrefs(spark, sf):
+    """All real links of all pages, and made-up forms that the pages lack."""
+    rows = I.table(spark, sf, "pages").select("page_id", "url", "html")
+    real = rows.select("page_id", "url", F.explode(H.hrefs(H.hide(F.col("html")))).alias("href"))
+    return real.unionByName(rows.selectExpr(*I.split_list(I.LINK_FORMS)))
+
+
+def _link_facts(spark, sf):
+    return _hrefs(spark, sf).select("page_id", "href", crawl.link_facts(F.col("url"), F.col("href")).alias("f"))
+
+
 @query
 def resolve_href(spark, sf):
-    rows = I.table(spark, sf, "pages").select("page_id", "url").selectExpr(*I.split_list(I.LINK_FORMS))
-    return rows.select("page_id", "href", U.resolve_href(F.col("url"), F.col("href")).alias("link"))
+    return _hrefs(spark, sf).select("page_id", "href", U.resolve_href(F.col("url"), F.col("href")).alias("link"))
 
 
 @query
 def is_job_link(spark, sf):
-    rows = I.table(spark, sf, "pages").select("page_id", "url").selectExpr(*I.split_list(I.LINK_FORMS))
-    fact = rows.select("page_id", crawl.link_facts(F.col("url"), F.col("href")).alias("f"))
-    return fact.select("page_id", "f.rule")
+    return _link_facts(spark, sf).select("page_id", "href", "f.rule")
 
 
 @query
 def same_site(spark, sf):
-    rows = I.table(spark, sf, "pages").select("page_id", "url").selectExpr(*I.split_list(I.LINK_FORMS))
-    fact = rows.select("page_id", crawl.link_facts(F.col("url"), F.col("href")).alias("f"))
-    return fact.where("f.url is not null").select("page_id", "f.same_site")
+    return _link_facts(spark, sf).where("f.url is not null").select("page_id", "href", "f.same_site")
 
 
 @query
@@ -586,6 +593,13 @@ def queue_page(spark, sf):
     return rank.queue_page(I.state(spark, sf).select("id", "title", "status", "created_at"), 57)
 
 
+@query
+def queue_slice_page(spark, sf):
+    """The same page from stored slices: their counts say which one holds it."""
+    rows = I.state(spark, sf).select("id", "title", "status", "created_at")
+    return QueueSlices.build(rows, work_dir(spark, "queue")).page(57)
+
+
 @query
 def queue_positions(spark, sf):
     return rank.queue_positions(I.state(spark, sf).select("id", "status", "created_at"))

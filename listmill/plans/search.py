@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from listmill import vocab as V
 from listmill.functions.urls import url_key
 from listmill.operators.listing import contract_filter, feed_listing, keyword_filter
-from listmill.operators.rank import first_distinct, rank_hits
+from listmill.operators.rank import first_distinct, first_per, rank_hits, top_rows
 from listmill.operators.report import failures
 from listmill.schema import FAILURE
+from listmill.session import cut_lineage
 from listmill.sources.feeds import READERS, bad_payloads
 
 ORDER = ["pass", "priority", "payload_id", "pos"]
+LOT, GROWTH = 20, 4  # payloads of the first lot for each listing wanted, and how lots grow
 
 
 @dataclass
@@ -38,10 +40,43 @@ def feed_items(feeds: Sequence[Feed], keywords: Sequence[str]) -> DataFrame:
     return out
 
 
+def _lots(feed: Feed, first: int) -> Iterator[DataFrame]:
+    """The payloads of a feed in order of their ids, in lots that grow; only ids are looked at to cut them."""
+    place, size = None, first
+    while True:
+        rest = feed.payloads if place is None else feed.payloads.where(F.col("payload_id") > F.lit(place))
+        head = top_rows(rest.select("payload_id"), ["payload_id"], size).agg(F.count("*").alias("n"), F.max("payload_id").alias("last")).first()
+        if head["n"] < size:
+            yield rest
+            return
+        yield rest.where((F.col("payload_id") <= F.lit(head["last"])) | F.col("payload_id").isNull())  # nulls come first
+        place, size = head["last"], size * GROWTH
+
+
+def first_items(feeds: Sequence[Feed], keywords: Sequence[str], target: int, first_lot: int | None = None) -> DataFrame:
+    """key, source and place of the first ``target`` distinct matching items in (pass, priority, payload, position) order.
+
+    Feeds are read in that order, lot by lot, and reading ends with the lot that fills the quota: all items before its end
+    are known by then, and an item behind it comes after ``target`` others, so it can't be among the first.
+    """
+    columns = ["key", "source", *ORDER]
+    found: DataFrame | None = None
+    for feed in sorted(feeds, key=lambda f: (f.turn, V.FEED_SOURCES.index(f.source))):
+        for lot in _lots(feed, first_lot or LOT * target):
+            rows = first_per(feed_items([Feed(feed.source, lot, feed.turn)], keywords).select(*columns), ["key"], ORDER)
+            # Fewer than ``target`` keys are known already, so behind twice as many of a lot nothing can win.
+            rows = cut_lineage(top_rows(rows, ORDER, 2 * target), "lot")
+            found = rows if found is None else found.unionByName(rows)
+            won = first_distinct(found, "key", ORDER, target)
+            if won.count() >= target:
+                return won
+    return won
+
+
 def search(feeds: Sequence[Feed], keywords: Sequence[str], n: int, now: Column | None = None) -> DataFrame:
     """The first ``n`` distinct contract listings in source order, then ordered by title hit.
 
-    Keys and positions alone decide which items win.  Only the payloads of the
+    Keys and positions alone decide which items win, and payloads are read in order until they are found.  Only the payloads of the
     winners (at most ``n``, a request of at most 200) are then read again,
     parsed whole and enriched.
     """
@@ -50,8 +85,7 @@ def search(feeds: Sequence[Feed], keywords: Sequence[str], n: int, now: Column |
     target = max(1, int(n or 1))
     if target > V.MAX_TARGET:
         raise ValueError(f"A run collects at most {V.MAX_TARGET} listings")
-    narrow = feed_items(feeds, keywords).select("key", "source", *ORDER)
-    winners = first_distinct(narrow, "key", ORDER, target)
+    winners = first_items(feeds, keywords, target)
     won = []
     # At most MAX_TARGET rows: small enough to broadcast.
     for feed in feeds:
@@ -71,5 +105,3 @@ def search_failures(feeds: Sequence[Feed], keywords: Sequence[str]) -> DataFrame
         spark = feeds[0].payloads.sparkSession
         return spark.createDataFrame([("(keywords)", "Add at least one keyword")], FAILURE)
     return failures(*[bad_payloads(f.payloads, f.source) for f in feeds])
-
-

@@ -125,3 +125,27 @@ def test_tree_top_keeps_the_first_rows(spark):
     df = spark.range(0, 5000, 1, 8).select((F.col("id") * 7919 % 5000).alias("o"))
     got = sorted(r.o for r in rank.top_rows(df, ["o"], 30).collect())
     assert got == list(range(30))
+
+
+def test_a_queue_page_reads_one_slice(spark):
+    import tempfile
+
+    from listmill.sources.queue_slices import QueueSlices
+    df = spark.range(500).select((F.col("id") * 7919 % 500).cast("string").alias("id"), F.lit("t").alias("created_at"),
+                                 F.when(F.col("id") % 10 == 0, "deleted").otherwise("unreviewed").alias("status"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queue = QueueSlices.build(df.repartition(3), tempfile.mkdtemp(prefix="run-") + "/q")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(queue.counts) > 1 and queue.total == 450
+    ids = sorted(str(i) for i in range(500))
+    shown = {r.id for r in df.where("status <> 'deleted'").collect()}
+    ids = [i for i in ids if i in shown]
+    for index in (-3, 0, 57, 449, 10_000):
+        page = queue.page(index)
+        at = min(max(index, 0), 449)
+        assert [(r.id, r.position, r.total) for r in page.collect()] == [(ids[at], at + 1, 450)]
+    plan = queue.page(57)._jdf.queryExecution().executedPlan().toString()
+    assert QueueSlices.build(df.where("id < ''"), tempfile.mkdtemp(prefix="run-") + "/q").page(3).count() == 0
+    assert "(slice#" in plan and f"= {queue.place(57)[0]})" in plan and "PartitionFilters: [isnotnull(slice" in plan
