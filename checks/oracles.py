@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks import inputs as I
 from checks import sql as S
-from checks.queries import KEYWORDS, NOW, SCRAPE_TARGET, SEARCH_KEYWORDS, SEARCH_TARGET
+from checks.queries import KEYWORDS, NOW, RUN_FEEDS, RUN_KEYWORDS, RUN_TARGET, SCRAPE_TARGET, SEARCH_KEYWORDS, SEARCH_TARGET
 from checks.sql import BATCH, BOARD_PAGES, JOB_PAGES, LISTINGS, PROGRESS, REVIEWS, ROBOTS, STATE, with_
 from listmill import vocab as V
 from listmill.functions.text import split_keywords
@@ -152,8 +152,9 @@ def _hits(kws: list[str]) -> str:
 
 # -- scrape ------------------------------------------------------------------------------
 
-def scrape_ctes() -> list[tuple[str, str]]:
-    cap = caps(SCRAPE_TARGET)
+def scrape_ctes(cap: dict, keep: str = "true") -> list[tuple[str, str]]:
+    """``cap`` has the caps as numbers or scalar subqueries, ``keep`` the keyword test on title and description."""
+    target = cap["target"]
     platform = S.any_of(f"lower(company || ' ' || {S.netloc('e.board_url')})", V.PLATFORMS)
 
     def allowed(url: str) -> str:
@@ -182,40 +183,92 @@ def scrape_ctes() -> list[tuple[str, str]]:
         ("links", f"""SELECT * FROM (SELECT v.board, v.board_url, v.hop, t.pos, t.link, {S.key('t.link')} AS key,
             {allowed('t.link')} AS ok FROM visits v JOIN targets t ON v.node = t.node) WHERE ok"""),
         ("facts", f"""SELECT key, page_id, title, {S.page_company('v', 'url')} AS company,
-            {S.contract_rule('title', 'description')} IS NOT NULL AS contract FROM (
+            {S.contract_rule('title', 'description')} IS NOT NULL AS contract, {keep} AS keep FROM (
             SELECT key, page_id, url, v, {S.page_title('v')} AS title, {S.page_description('v')} AS description FROM landed_seen)"""),
         ("events", f"""SELECT e.board, e.hop, e.pos, e.key, e.link, e.board_url, f.page_id,
-            f.title <> '' AND (f.contract OR {platform}) AS accept FROM links e LEFT JOIN facts f ON e.key = f.key"""),
+            f.title <> '' AND f.keep AND (f.contract OR {platform}) AS accept FROM links e LEFT JOIN facts f ON e.key = f.key"""),
         ("firsts", """SELECT key, min({'b': board, 'h': hop, 'p': pos}) AS f FROM events WHERE accept GROUP BY key"""),
         ("fetches", f"""SELECT board, hop, pos, key, accept, page_id, board_url FROM (
             SELECT e.board, e.hop, e.pos, e.key, e.accept, e.page_id, e.board_url FROM events e LEFT JOIN firsts x ON e.key = x.key
             WHERE e.page_id IS NOT NULL AND (x.f IS NULL OR {{'b': e.board, 'h': e.hop, 'p': e.pos}} <= x.f)
             UNION ALL SELECT board, hop, 0, NULL, false, NULL, board_url FROM visits)
             ORDER BY board, hop, pos LIMIT {cap['max_fetches']}"""),
-        ("finish", f"""SELECT CASE WHEN count(*) FILTER (accept) >= {SCRAPE_TARGET}
-            THEN (SELECT {{'b': board, 'h': hop, 'p': pos}} FROM fetches WHERE accept ORDER BY board, hop, pos LIMIT 1 OFFSET {SCRAPE_TARGET - 1})
+        ("finish", f"""SELECT CASE WHEN count(*) FILTER (accept) >= {target}
+            THEN (SELECT {{'b': board, 'h': hop, 'p': pos}} FROM fetches WHERE accept ORDER BY board, hop, pos LIMIT 1 OFFSET ({target} - 1))
             WHEN count(*) >= {cap['max_fetches']} THEN max({{'b': board, 'h': hop, 'p': pos}}) END AS e FROM fetches"""),
     ]
 
 
-SCRAPE = scrape_ctes()
-WON = [*SCRAPE,
-       ("won", f"SELECT * FROM fetches WHERE accept ORDER BY board, hop, pos LIMIT {SCRAPE_TARGET}"),
-       ("won_seen", f"SELECT w.board * 1000000 + w.hop * 10000 + w.pos AS page_id, l.url, {S.hide('l.html')} AS v FROM won w JOIN landed_all l ON w.page_id = l.page_id"),
-       ("won_host", f"SELECT board * 1000000 + hop * 10000 + pos AS page_id, board, hop, pos, {S.netloc('board_url')} AS host FROM won")]
+def won_ctes(scraped: list[tuple[str, str]], target: int | str) -> list[tuple[str, str]]:
+    return [*scraped,
+            ("won", f"SELECT * FROM fetches WHERE accept ORDER BY board, hop, pos LIMIT {target}"),
+            ("won_seen", f"SELECT w.board * 1000000 + w.hop * 10000 + w.pos AS page_id, l.url, {S.hide('l.html')} AS v FROM won w JOIN landed_all l ON w.page_id = l.page_id"),
+            ("won_host", f"SELECT board * 1000000 + hop * 10000 + pos AS page_id, board, hop, pos, {S.netloc('board_url')} AS host FROM won")]
 
 
-def search_sql() -> str:
-    kws = [k.lower() for k in split_keywords(SEARCH_KEYWORDS)]
+SCRAPE = scrape_ctes(caps(SCRAPE_TARGET))
+WON = won_ctes(SCRAPE, SCRAPE_TARGET)
+FAILED = """SELECT board_url AS url, 'Blocked by robots.txt' AS error FROM boards, finish
+        WHERE NOT allowed AND (e IS NULL OR {'b': board, 'h': 0, 'p': 0} <= e)
+        UNION ALL SELECT board_url, 'page has not landed' FROM boards, finish
+        WHERE allowed AND key NOT IN (SELECT key FROM landed) AND (e IS NULL OR {'b': board, 'h': 0, 'p': 0} <= e)
+        UNION ALL SELECT link, 'page has not landed' FROM events, finish
+        WHERE page_id IS NULL AND (e IS NULL OR {'b': board, 'h': hop, 'p': pos} <= e)"""
+
+
+def search_ctes(keywords: str, target: int, feeds: str = "feeds") -> list[tuple[str, str]]:
+    """CTE ``win``: the first items in source order, with their place ``k``."""
+    kws = [k.lower() for k in split_keywords(keywords)]
     text = "lower(title || chr(10) || description || chr(10) || array_to_string(tags, ' '))"
     rule = S.contract_rule("title", "description", "job_type", "tags", "company", "source")
-    src = ("win", f"""SELECT row_number() OVER (ORDER BY priority, listing_id) AS k, * FROM (
-        SELECT * FROM feeds WHERE url <> '' AND {S.any_of(text, kws)} AND {rule} IS NOT NULL
+    return [*FEEDS, ("win", f"""SELECT row_number() OVER (ORDER BY priority, listing_id) AS k, * FROM (
+        SELECT * FROM {feeds} WHERE url <> '' AND {S.any_of(text, kws)} AND {rule} IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY {S.key('url')} ORDER BY priority, listing_id) = 1)
-        ORDER BY priority, listing_id LIMIT {SEARCH_TARGET}""")
-    posted = f"substr({S.clean('posted_date')}, 1, 120)"
-    return with_([*FEEDS, src, *S.enrich_ctes("win", "rich")],
-                 f"SELECT {S.listing_columns(FEED_PAY, posted, 'source', NOW)} FROM rich")
+        ORDER BY priority, listing_id LIMIT {target}""")]
+
+
+FEED_LISTING = S.listing_columns(FEED_PAY, f"substr({S.clean('posted_date')}, 1, 120)", "source", NOW)
+
+
+def search_sql() -> str:
+    return with_([*search_ctes(SEARCH_KEYWORDS, SEARCH_TARGET), *S.enrich_ctes("win", "rich")], f"SELECT {FEED_LISTING} FROM rich")
+
+
+def run_ctes() -> list[tuple[str, str]]:
+    """CTEs of a run over feeds and then boards: run_rows, run_failed and run_counts."""
+    names = ", ".join(f"'{s}'" for s in RUN_FEEDS)
+    asked = f"(SELECT * FROM feeds WHERE source IN ({names}) AND listing_id % 97 <> 0)"
+    places = " UNION ALL ".join(f"SELECT listing_id, '{s}' AS source, {V.FEED_SOURCES.index(s) + 1} AS priority FROM ({I.select(I.FEED_ITEMS.format(source=s), 'listings')})"
+                                for s in RUN_FEEDS)
+    limits = caps(RUN_TARGET)
+    cap = {k: f"(SELECT {k} FROM cap)" for k in limits}
+    low = "lower(title || chr(10) || description)"
+    boards = scrape_ctes(cap, S.any_of(low, [k.lower() for k in split_keywords(RUN_KEYWORDS)]))
+    fields = ", ".join("h.host AS source_board" if c == "source_board" else f"p.{c}" for c in V.LISTING_FIELDS)
+    return [
+        *search_ctes(RUN_KEYWORDS, RUN_TARGET, asked), *S.enrich_ctes("win", "rich"),
+        ("online", f"SELECT {FEED_LISTING} FROM rich"),
+        ("cap", f"""SELECT *, greatest(8, least(40, target + 4)) AS max_pages, greatest(120, least(400, 20 * target)) AS max_fetches,
+            greatest(80, least(200, 10 * target)) AS link_limit FROM (SELECT {RUN_TARGET} - count(*) AS target FROM win)"""),
+        *won_ctes(boards, cap["target"]), *page_listing_ctes("won_seen", "pl", "url_host"),
+        ("run_rows", f"""SELECT 'feeds' AS stage, {FIELDS} FROM online
+            UNION ALL SELECT 'boards', {fields} FROM pl p JOIN won_host h ON p.page_id = h.page_id WHERE {cap['target']} > 0"""),
+        ("run_failed", f"""SELECT 'feeds' AS stage, source || ':' || listing_id AS url, 'payload does not parse' AS error FROM ({places})
+            WHERE listing_id % 97 = 0 AND ({cap['target']} > 0 OR priority <= (SELECT max(priority) FROM win))
+            UNION ALL SELECT 'boards', url, error FROM ({FAILED}) WHERE {cap['target']} > 0"""),
+        ("run_counts", f"SELECT (SELECT count(*) FROM run_rows) AS collected, (SELECT count(*) FROM run_failed) AS failed, {RUN_TARGET} AS target"),
+        ("run_end", f"SELECT *, CASE WHEN zero OR short THEN error ELSE {DONE} END AS message FROM (SELECT *, {OUTCOME} FROM run_counts)"),
+    ]
+
+
+OUTCOME = """collected = 0 AS zero, collected < target AS short, CASE WHEN collected = 0 AND failed > 0 THEN
+        'Search failed — no contract jobs collected (' || failed || ' source error(s)).'
+        WHEN collected = 0 THEN 'No matching contract jobs found. Try different keywords or board URLs.'
+        WHEN collected < target THEN 'Only found ' || collected || ' of ' || target ||
+        ' requested. Sources exhausted — try more boards, broader keywords, or Both mode.'
+        WHEN failed > 0 THEN 'Finished with ' || failed || ' source warning(s).' END AS error"""
+DONE = "'Done. Collected ' || collected || ' / ' || target || ' matching contract jobs.'"
+RUN = run_ctes()
 
 
 def low_check(name: str, fn) -> str:
@@ -366,12 +419,15 @@ ORACLES: dict[str, str] = {
         FROM pl p JOIN won_host h ON p.page_id = h.page_id"""),
     "scrape_fetches": with_(SCRAPE, """SELECT board, hop, pos, key, accept FROM fetches, finish
         WHERE e IS NULL OR {'b': board, 'h': hop, 'p': pos} <= e"""),
-    "scrape_failures": with_(SCRAPE, """SELECT board_url AS url, 'Blocked by robots.txt' AS error FROM boards, finish
-        WHERE NOT allowed AND (e IS NULL OR {'b': board, 'h': 0, 'p': 0} <= e)
-        UNION ALL SELECT board_url, 'page has not landed' FROM boards, finish
-        WHERE allowed AND key NOT IN (SELECT key FROM landed) AND (e IS NULL OR {'b': board, 'h': 0, 'p': 0} <= e)
-        UNION ALL SELECT link, 'page has not landed' FROM events, finish
-        WHERE page_id IS NULL AND (e IS NULL OR {'b': board, 'h': hop, 'p': pos} <= e)"""),
+    "scrape_failures": with_(SCRAPE, FAILED),
+    "run_both": with_(RUN, "SELECT * FROM run_rows"),
+    "run_both_failures": with_(RUN, "SELECT * FROM run_failed"),
+    "run_both_outcome": with_(RUN, "SELECT * FROM run_end"),
+    "run_both_progress": with_(RUN, f"""SELECT 0 AS step, 'Starting…' AS message, 0 AS collected, 0 AS failed, {RUN_TARGET} AS target,
+        true AS running, false AS finished, CAST(NULL AS VARCHAR) AS error
+        UNION ALL SELECT 1, 'Online found ' || ({RUN_TARGET} - c.target) || '. Scraping boards for ' || c.target || ' more…', {RUN_TARGET} - c.target,
+        (SELECT count(*) FROM run_failed WHERE stage = 'feeds'), {RUN_TARGET}, true, false, NULL FROM cap c WHERE c.target > 0
+        UNION ALL SELECT CASE WHEN c.target > 0 THEN 2 ELSE 1 END, message, collected, failed, r.target, false, true, error FROM run_end r, cap c"""),
     "queue_page": with_([*STATE, ("v", """SELECT id, title, status, created_at, row_number() OVER (ORDER BY created_at, id) AS position,
         count(*) OVER () AS total FROM state WHERE status <> 'deleted'""")], "SELECT * FROM v WHERE position = least(58, total)"),
     "queue_positions": with_(STATE, """SELECT id, status, created_at, row_number() OVER (ORDER BY created_at, id) AS position,
@@ -380,15 +436,8 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (status <> 'deleted') AS visible FROM reviewed"""),
     "run_outcome": with_([LISTINGS, ("g", """SELECT source AS run_id, count(*) FILTER (url <> '') AS collected,
         count(*) FILTER (url = '') AS failed, 250 AS target FROM listings GROUP BY source
-        UNION ALL SELECT DISTINCT source || ':none', 0, 0, 250 FROM listings"""), ("o", """SELECT *, collected = 0 AS zero,
-        collected < target AS short, CASE WHEN collected = 0 AND failed > 0 THEN
-        'Search failed — no contract jobs collected (' || failed || ' source error(s)).'
-        WHEN collected = 0 THEN 'No matching contract jobs found. Try different keywords or board URLs.'
-        WHEN collected < target THEN 'Only found ' || collected || ' of ' || target ||
-        ' requested. Sources exhausted — try more boards, broader keywords, or Both mode.'
-        WHEN failed > 0 THEN 'Finished with ' || failed || ' source warning(s).' END AS error FROM g""")],
-        """SELECT *, CASE WHEN zero OR short THEN error ELSE
-        'Done. Collected ' || collected || ' / ' || target || ' matching contract jobs.' END AS message FROM o"""),
+        UNION ALL SELECT DISTINCT source || ':none', 0, 0, 250 FROM listings"""), ("o", f"""SELECT *, {OUTCOME} FROM g""")],
+        f"SELECT *, CASE WHEN zero OR short THEN error ELSE {DONE} END AS message FROM o"),
     "failures": with_([LISTINGS], f"""SELECT 'listing:' || listing_id AS url, 'no url' AS error FROM listings WHERE url = ''
         UNION ALL SELECT 'remotive.com:' || listing_id, 'payload does not parse' FROM listings WHERE listing_id % 10 = 0"""),
     "failure_panel": with_([PROGRESS, RUNS, ("p", """SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'Request refused' END AS request_error,

@@ -21,6 +21,7 @@ from listmill.functions import urls as U
 from listmill.functions.classify import contract_rule
 from listmill.operators import crawl, listing, merge, rank, report
 from listmill.operators.keywords import keyword_hits
+from listmill.plans.run import run
 from listmill.plans.scrape import scrape
 from listmill.plans.search import Feed, search
 from listmill.schema import EVENT
@@ -40,6 +41,7 @@ KEYWORDS = "Linguistics, ward coordinator; RLHF"
 SEARCH_KEYWORDS = "linguistics, ward"
 SEARCH_TARGET = 200
 SCRAPE_TARGET = 50
+RUN_KEYWORDS, RUN_TARGET, RUN_FEEDS = "freelance", 200, ["remoteok.com", "jobicy.com"]
 
 
 def query(fn: Query) -> Query:
@@ -565,11 +567,17 @@ def fetch_budget(spark, sf):
     return crawl.fetch_budget(links, 400)
 
 
-def _scrape(spark, sf):
+def _boards(spark, sf):
+    """Boards and the rules of their sites."""
     boards = I.board_pages(spark, sf).select(F.col("page_id").alias("board"), "url")
     rules = I.table(spark, sf, "pages").select(
         U.origin(F.col("url")).alias("origin"), F.col("page_id").alias("rule_order"), F.lit("*").alias("agent"),
         (F.col("page_id") % 3 != 0).alias("allow"), F.expr("'/' || substr(regexp_extract(url, '//[^/]+/([^?#]*)', 1), 1, 2)").alias("path_prefix"))
+    return boards, rules
+
+
+def _scrape(spark, sf):
+    boards, rules = _boards(spark, sf)
     return scrape(boards, I.landed_pages(spark, sf), rules, [], SCRAPE_TARGET, F.lit(NOW))
 
 
@@ -588,6 +596,34 @@ def scrape_failures(spark, sf):
     return _scrape(spark, sf).failures
 
 
+def _run(spark, sf):
+    """Feeds, some of whose payloads are broken, then boards for the rest."""
+    found = [Feed(s, I.payloads(spark, sf, s).withColumn("payload", F.when(F.col("payload_id") % 97 == 0, F.lit("{")).otherwise(F.col("payload"))))
+             for s in RUN_FEEDS]
+    boards, rules = _boards(spark, sf)
+    return run(spark, "both", T.split_keywords(RUN_KEYWORDS), RUN_TARGET, found, boards, I.landed_pages(spark, sf), rules, F.lit(NOW))
+
+
+@query
+def run_both(spark, sf):
+    return _run(spark, sf).listings.drop("seq")
+
+
+@query
+def run_both_failures(spark, sf):
+    return _run(spark, sf).failures
+
+
+@query
+def run_both_outcome(spark, sf):
+    return _run(spark, sf).outcome
+
+
+@query
+def run_both_progress(spark, sf):
+    return _run(spark, sf).progress
+
+
 @query
 def queue_page(spark, sf):
     return rank.queue_page(I.state(spark, sf).select("id", "title", "status", "created_at"), 57)

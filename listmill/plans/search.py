@@ -73,6 +73,29 @@ def first_items(feeds: Sequence[Feed], keywords: Sequence[str], target: int, fir
     return won
 
 
+def listings_of(feeds: Sequence[Feed], winners: DataFrame, keywords: Sequence[str], now: Column | None = None) -> DataFrame:
+    """The winners' listings, ordered by title hit: only their payloads are read again, parsed whole and enriched."""
+    won = []
+    # At most MAX_TARGET rows: small enough to broadcast.
+    for feed in feeds:
+        ids = winners.where((F.col("source") == feed.source) & (F.col("pass") == feed.turn))
+        payloads = feed.payloads.join(F.broadcast(ids.select("payload_id").distinct()), "payload_id", "left_semi")
+        rows = READERS[feed.source](payloads).withColumn("pass", F.lit(feed.turn))
+        won.append(rows.join(F.broadcast(ids.select("payload_id", "pos")), ["payload_id", "pos"], "left_semi"))
+    items = won[0]
+    for rows in won[1:]:
+        items = items.unionByName(rows)
+    return rank_hits(feed_listing(items, now), keywords)
+
+
+def reached(feeds: Sequence[Feed], winners: DataFrame, target: int) -> list[Feed]:
+    """The feeds that a search comes to: those up to the one that fills the quota, or all."""
+    end = winners.agg(F.count("*").alias("n"), F.max(F.struct("pass", "priority")).alias("last")).first()
+    if end["n"] < target:
+        return list(feeds)
+    return [f for f in feeds if (f.turn, V.FEED_SOURCES.index(f.source) + 1) <= tuple(end["last"])]
+
+
 def search(feeds: Sequence[Feed], keywords: Sequence[str], n: int, now: Column | None = None) -> DataFrame:
     """The first ``n`` distinct contract listings in source order, then ordered by title hit.
 
@@ -85,18 +108,7 @@ def search(feeds: Sequence[Feed], keywords: Sequence[str], n: int, now: Column |
     target = max(1, int(n or 1))
     if target > V.MAX_TARGET:
         raise ValueError(f"A run collects at most {V.MAX_TARGET} listings")
-    winners = first_items(feeds, keywords, target)
-    won = []
-    # At most MAX_TARGET rows: small enough to broadcast.
-    for feed in feeds:
-        ids = winners.where((F.col("source") == feed.source) & (F.col("pass") == feed.turn))
-        payloads = feed.payloads.join(F.broadcast(ids.select("payload_id").distinct()), "payload_id", "left_semi")
-        rows = READERS[feed.source](payloads).withColumn("pass", F.lit(feed.turn))
-        won.append(rows.join(F.broadcast(ids.select("payload_id", "pos")), ["payload_id", "pos"], "left_semi"))
-    items = won[0]
-    for rows in won[1:]:
-        items = items.unionByName(rows)
-    return rank_hits(feed_listing(items, now), keywords)
+    return listings_of(feeds, first_items(feeds, keywords, target), keywords, now)
 
 
 def search_failures(feeds: Sequence[Feed], keywords: Sequence[str]) -> DataFrame:
