@@ -4,8 +4,9 @@ Fixed rules find e-mail addresses, IP addresses, card numbers and phone numbers
 checks; these spans always stay.  Beside them, generators of high recall propose further
 spans, which may overlap: number runs, key-like strings, spelled-out addresses.  Features of
 a candidate's form and of the text around it go into gradient-boosted trees.  They are fitted
-on the candidates of at most about ``sample`` documents, picked by a hash of the id; a
-candidate is a positive example if the fixed rules confirm it or if it is the quoted value
+on the candidates of all documents: equal ones are counted, and the counts are weights.  Edges lie between all values of a feature,
+or at its percentiles over all examples, and the trees split on which edges a value is beyond, so that nothing is
+left for them to find in a sample; a candidate is a positive example if the fixed rules confirm it or if it is the quoted value
 of a credential.  Half of the examples, by hash, are fitted without the context, so that
 the form counts too.  Thresholds are calibrated for each kind on examples held out: the lowest
 score from which on at least ``precision`` of the held-out examples are positive.  A kind
@@ -175,45 +176,79 @@ def features(c: Column, text: Column, base: Column) -> Column:
                     *[made[f].alias(f) for f in FEATURES])
 
 
-def tree_sql(lines: list[str], name) -> str:
+def tree_sql(lines: list[str], within) -> str:
     """One printed tree as nested CASE expressions."""
     line = lines.pop(0).strip()
     if line.startswith("Predict:"):
         return f"{float(line.split(':')[1])!r}D"
-    feature, edge = re.fullmatch(r"If \(feature (\d+) <= (.+)\)", line).groups()
-    low = tree_sql(lines, name)
+    feature, value = re.fullmatch(r"If \(feature (\d+) in \{([01])\.0\}\)", line).groups()
+    first = tree_sql(lines, within)
     lines.pop(0)  # Else
-    high = tree_sql(lines, name)
-    return f"CASE WHEN {name(int(feature))} <= {float(edge)!r}D THEN {low} ELSE {high} END"
+    second = tree_sql(lines, within)
+    low, high = (first, second) if value == "0" else (second, first)
+    return f"CASE WHEN {within(int(feature))} THEN {low} ELSE {high} END"
 
 
-def trees_sql(printed: str, name) -> str:
-    """The margin of printed gradient-boosted trees as a SQL expression."""
+def trees_sql(printed: str, within) -> str:
+    """The margin of printed gradient-boosted trees as a SQL expression; ``within`` has the test that a value isn't beyond an edge."""
     parts = re.split(r"\n\s*Tree \d+ \(weight ([-0-9.eE]+)\):\n", printed)[1:]
-    return " + ".join(f"{float(w)!r}D * ({tree_sql([x for x in body.split(chr(10)) if x.strip()], name)})" for w, body in zip(parts[::2], parts[1::2]))
+    return " + ".join(f"{float(w)!r}D * ({tree_sql([x for x in body.split(chr(10)) if x.strip()], within)})" for w, body in zip(parts[::2], parts[1::2]))
+
+
+def examples(docs: DataFrame) -> DataFrame:
+    """(label, kind, part, features, n): the candidates of all documents, counted; part 0 and 1 are fitted, 0 without the context, 2 is held out."""
+    every = with_candidates(with_base(docs.select("doc_id", "text")))
+    # The outer form: for the other one the plan makes all candidates a second time, to tell whether there are any.
+    rows = every.select("doc_id", F.explode_outer("candidates").alias("c")).filter("c IS NOT NULL")
+    part = F.least(F.pmod(F.xxhash64("doc_id", "c.start", "c.end"), F.lit(4)), F.lit(2))
+    rows = rows.select(F.col("c.positive").cast("double").alias("label"), F.col("c.kind").alias("kind"), part.alias("part"), "c")
+    made = [F.when((F.col("part") == 0) & F.lit(f in CONTEXT), 0.0).otherwise(F.col(f"c.{f}")).alias(f) for f in FEATURES]
+    return rows.select("label", "kind", "part", *made).groupBy("label", "kind", "part", *FEATURES).agg(F.count("*").alias("n"))
+
+
+def edges_of(rows: DataFrame, bins: int = 32) -> list[tuple[str, float]]:
+    """(feature, edge): between all values of a feature with at most ``bins`` of them, else its percentiles over the examples (features, n)."""
+    long = rows.select("n", F.explode(F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f))])).alias("feature", "value"))
+    counts = written(long.groupBy("feature", "value").agg(F.sum("n").alias("n")), "values")
+    cuts = F.percentile("value", F.array(*[F.lit(k / bins) for k in range(1, bins)]), F.col("n"))
+    stats = {r.feature: r for r in counts.groupBy("feature").agg(F.count("*").alias("values"), F.max("value").alias("most"), cuts.alias("cuts")).collect()}
+    few = [f for f, r in stats.items() if r.values <= bins]
+    values = {f: [] for f in few}
+    for r in counts.filter(F.col("feature").isin(few)).orderBy("value").collect():  # at most bins a feature
+        values[r.feature].append(r.value)
+    out = []
+    for f in FEATURES:
+        if f in values:
+            out += [(f, (a + b) / 2) for a, b in zip(values[f], values[f][1:])]
+        elif f in stats:
+            out += [(f, x) for x in sorted(set(stats[f].cuts)) if x < stats[f].most]
+    return out
 
 
-def fit(docs: DataFrame, sample: int = 20_000, precision: float = 0.95, trees: int = 20, depth: int = 3) -> tuple[str, dict[int, float]] | None:
+def fit(docs: DataFrame, precision: float = 0.95, trees: int = 20, depth: int = 3) -> tuple[str, dict[int, float]] | None:
     """(margin as SQL over a candidate ``c``, least margin of each kind), or None without examples of both classes."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    share = min(1.0, sample / max(1, docs.count()))
-    key = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 31))
-    some = with_candidates(with_base(docs.filter(key < int(share * (1 << 31))).select("doc_id", "text")))
-    rows = some.select("doc_id", F.explode("candidates").alias("c")).select(
-        F.col("c.positive").cast("double").alias("label"), F.col("c.kind").alias("kind"), F.pmod(F.xxhash64("doc_id", "c.start", "c.end"), F.lit(4)).alias("fold"),
-        *[F.col(f"c.{f}").alias(f) for f in FEATURES])
-    rows = written(rows, "candidates")
-    train = rows.filter("fold < 2").select("label", *[F.when(F.col("fold") == 0, 0.0).otherwise(F.col(f)).alias(f) if f in CONTEXT else F.col(f) for f in FEATURES])
+    rows = written(examples(docs), "candidates")
+    train = rows.filter("part < 2")
     if train.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(featuresCol="features", maxIter=trees, maxDepth=depth, seed=11).fit(
-        VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train).select("label", "features"))
+    edges = edges_of(train)
+    own = {f: [x for g, x in edges if g == f] for f in FEATURES}
+    beyond = [sum([(F.col(f) > x).cast("int") for x in own[f]], F.lit(0)).alias(f) for f in FEATURES]
+    binned = written(train.select("label", "n", *beyond).groupBy("label", *FEATURES).agg(F.sum("n").cast("double").alias("n")), "binned")
+    flags = [(F.col(f) > own[f].index(x)).cast("double").alias(f"_{i}", metadata={"ml_attr": {"type": "binary"}}) for i, (f, x) in enumerate(edges)]
+    assembled = VectorAssembler(inputCols=[f"_{i}" for i in range(len(edges))], outputCol="features").transform(binned.select("label", "n", *flags))
+    model = GBTClassifier(featuresCol="features", weightCol="n", maxIter=trees, maxDepth=depth, seed=11).fit(assembled.select("label", "n", "features"))
     printed = model.toDebugString
-    held = rows.filter("fold >= 2").select("kind", "label", F.expr(trees_sql(printed, lambda i: FEATURES[i])).alias("margin"))
+
+    def margin(prefix: str) -> str:
+        return trees_sql(printed, lambda i: f"{prefix}{edges[i][0]} <= {edges[i][1]!r}D")
+
+    held = rows.filter("part = 2").select("kind", "label", "n", F.expr(margin("")).alias("margin"))
     # margins take few values: a bounded number of leaves a tree; counts of them, not the rows, are gathered
-    counts = held.groupBy("kind", F.round("margin", 6).alias("margin")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    counts = held.groupBy("kind", F.round("margin", 6).alias("margin")).agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()
     least = {}
     for kind in {r.kind for r in counts}:
         n = good = 0
@@ -221,13 +256,13 @@ def fit(docs: DataFrame, sample: int = 20_000, precision: float = 0.95, trees: i
             n, good = n + r.n, good + r.good
             if good >= precision * n:
                 least[kind] = r.margin
-    return trees_sql(printed, lambda i: f"c.{FEATURES[i]}"), {k: v for k, v in least.items() if math.isfinite(v)}
+    return margin("c."), {k: v for k, v in least.items() if math.isfinite(v)}
 
 
-def find_personal_data(docs: DataFrame, sample: int = 20_000, precision: float = 0.95) -> DataFrame:
+def find_personal_data(docs: DataFrame, precision: float = 0.95) -> DataFrame:
     """doc_id, text, n_email, n_ip, n_card, n_phone (base spans), base, added: arrays of (start, kind number, end)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fitted = fit(docs, sample, precision)
+    fitted = fit(docs, precision)
     out = with_base(docs)
     kind = "array<struct<start:int,kind:int,end:int>>"
     if fitted is None or not fitted[1]:

@@ -207,6 +207,18 @@ def test_personal_data_on_odd_rows(docs, none):
     assert pii.span_digest(pii.find_personal_data(none)).count() == 0
 
 
+def test_personal_data_is_fitted_on_all_documents(spark):
+    """Over 20,000 documents: every candidate counts, also those that few documents hold."""
+    rare = spark.range(40).select((F.col("id") * 997).alias("doc_id"), F.concat(F.lit("word token = \""), F.sha2(F.col("id").cast("string"), 256), F.lit("\" word")).alias("text"))
+    rest = spark.range(40_000).select((F.col("id") + 50_000).alias("doc_id"), F.concat(F.lit("order 12345"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(" ok")).alias("text"))
+    rows = pii.examples(rare.union(rest))
+    assert {(r.label, r.n) for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()} == {(1.0, 40), (0.0, 40_000)}
+    edges = pii.edges_of(rows.filter("part < 2"))
+    assert ("credential", 0.5) in edges and ("is_id", 0.5) in edges and len(edges) <= 31 * len(pii.FEATURES)
+    found = pii.span_digest(pii.find_personal_data(rare.union(rest))).filter("spans <> ''").collect()
+    assert len(found) == 40 and all(r.spans == "secret:14:78" for r in found)
+
+
 # -- decontamination --------------------------------------------------------------------
 
 def test_decontamination(spark, docs, none):
