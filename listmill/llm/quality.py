@@ -3,6 +3,8 @@
 Byte 5-gram models with modified Kneser-Ney smoothing are counted over all distinct texts of
 each language (see :mod:`listmill.llm.ngrams`), one over each half of them by the hash of the text.  A text is scored by the
 model of the other half, which has not counted it; so what occurs once is not taken for what the language looks like.
+The models are whole.  Spark looks up each distinct n-gram of a half in the other half's model; tasks hold the log
+probabilities of the ``held`` most frequent ones, and the others of each distinct text are joined with theirs.
 A document's score is its mean loss per byte, the log of its perplexity.  Each language has its own band: from the quartiles of all its
 distinct texts, so that copies don't set it, ``width`` times the distance between them to both sides, and further out for
 short texts, whose mean loss varies more, by ``short`` over the root of the length.
@@ -32,7 +34,7 @@ from listmill.llm.shared import ship, text_chunks, text_column, without_rows, wr
 from listmill.llm.words import LEAD, SPACE, mix, per_text, shingle_hashes, span_hashes, word_spans
 
 ORDER, BITS, SYMBOLS = 5, 8, 256
-SHARE = 2.0**-16  # of a half's counts
+HELD = 1 << 19  # n-grams whose log probabilities tasks hold, 16 bytes each; it changes no result
 WIDTH, SHORT = 1.0, 4.0
 FILTER_BITS, FILTER_PROBES = 26, 3  # 8 MB
 STEPS = 1000  # losses are held against the band in steps of 1/1000
@@ -130,38 +132,77 @@ def language_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("grp", "gram").agg(F.sum("c").alias("c"))
 
 
-def language_models(docs: DataFrame, share: float = SHARE) -> dict[str, ngrams.Model]:
-    """The models by half and language."""
-    return ngrams.load_models(ngrams.kneser_ney(language_counts(docs), ORDER, BITS, SYMBOLS, share), ORDER, BITS, SYMBOLS)
-
-
-def measured(docs: DataFrame, models: dict[str, ngrams.Model]) -> DataFrame:
+def log_probabilities(docs: DataFrame) -> DataFrame:
+    """(grp, gram, c, logp) of every n-gram of the texts that are scored by a group's whole model; c counts it in these texts."""
+    counts = written(language_counts(docs), "counts")
+    model = ngrams.kneser_ney(counts, ORDER, BITS, SYMBOLS, share=0.0)
+    half, rest = F.substring("grp", 1, 1).cast("int"), F.expr("substring(grp, 3)")
+    return written(ngrams.resolved(model, counts.select(_group(rest, 1 - half).alias("grp"), "gram", "c"), ORDER, BITS, SYMBOLS), "resolved")
+
+
+def most_frequent(rows: DataFrame, held: int = HELD) -> dict[str, ngrams.HashArray]:
+    """The log probabilities of the most frequent n-grams, at most ``held`` of them, by group on the driver."""
+    step = F.floor(F.log2("c") * 8)
+    room, least = held, None
+    for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # at most 8 * 63
+        room -= r.n
+        if room < 0:
+            break
+        least = r.step
+    got = rows.filter(step >= least if least is not None else F.lit(False)).select("grp", "gram", "logp").toArrow().combine_chunks()
+    names = got["grp"].combine_chunks().dictionary_encode() if len(got) else pa.array([], pa.string()).dictionary_encode()
+    group, gram, logp = names.indices.to_numpy(), got["gram"].to_numpy(), got["logp"].to_numpy()
+    return {grp: ngrams.HashArray(gram[group == i], logp[group == i], np.zeros((group == i).sum(), np.float32)) for i, grp in enumerate(names.dictionary.to_pylist())}
+
+
+def _others(grams: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> pa.ListArray:
+    """The distinct n-grams at these places, counted, by text."""
+    text = np.searchsorted(offsets, places, "right") - 1
+    own = grams[places]
+    order = np.lexsort((own, text))
+    text, own = text[order], own[order]
+    edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])))) if len(own) else np.empty(0, np.int64)
+    lists = np.searchsorted(text[edge], np.arange(len(offsets))).astype(np.int32)
+    counts = np.diff(np.append(edge, len(own)))
+    return pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([pa.array(own[edge].view(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "c"]))
+
+
+def measured(docs: DataFrame, held: int = HELD) -> DataFrame:
     """doc_id, language, text_hash, the base measures, n_bytes and loss (mean per byte; null without text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most 2 * order/share entries of 16 bytes a group
+    scores = log_probabilities(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(most_frequent(scores, held))  # of bounded size
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        even = ngrams.even_model(ORDER, BITS, SYMBOLS)
+        none = ngrams.HashArray(np.empty(0, np.int64), np.empty(0), np.empty(0))
         for batch in batches:
             others = np.array(batch.column(4).to_pylist(), object)
             texts = text_column(batch)
             for other in set(others.tolist()):
                 rows = np.flatnonzero(others == other)
                 mine = texts.take(pa.array(rows))
-                model = shared.value.get(other, even)
+                known = shared.value.get(other, none)
                 for a, b, data, offsets in text_chunks(mine):
-                    logp = model.log_probabilities(ngrams.pack(data, offsets, ORDER, BITS))
+                    grams = ngrams.pack(data, offsets, ORDER, BITS)
+                    at = known.find(grams)
+                    logp = np.zeros(len(grams))
+                    logp[at >= 0] = known.logp[at[at >= 0]]
                     total = np.concatenate(([0.0], np.cumsum(logp)))
-                    size = np.diff(offsets)
-                    loss = np.where(size > 0, -(total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(size, 1), np.nan)
                     part = batch.take(pa.array(rows[a:b]))
-                    columns = [part.column(0), part.column(2), part.column(3), *[pa.array(x.astype(np.int64)) for x in base_measures(data, offsets)],
-                               pa.array(size.astype(np.int64)), pa.array(loss, mask=size == 0)]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "language", *BASE, "n_bytes", "loss"])
+                    columns = [part.column(0), part.column(2), part.column(3), part.column(4), *[pa.array(x.astype(np.int64)) for x in base_measures(data, offsets)],
+                               pa.array(np.diff(offsets).astype(np.int64)), pa.array(total[offsets[1:]] - total[offsets[:-1]]), _others(grams, offsets, np.flatnonzero(at < 0))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "language", "other", *BASE, "n_bytes", "known", "rest"])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"),
                        _language().alias("language"), _group(_language(), 1 - _half()).alias("other"))
-    return rows.mapInArrow(measure, "doc_id bigint, text_hash bigint, language string, " + ", ".join(f"{c} bigint" for c in BASE) + ", n_bytes bigint, loss double")
+    rows = written(rows.mapInArrow(measure, "doc_id bigint, text_hash bigint, language string, other string, " + ", ".join(f"{c} bigint" for c in BASE)
+                                   + ", n_bytes bigint, known double, rest array<struct<gram:bigint,c:bigint>>"), "known")
+    # Each text once, so that no n-gram that is left meets copies.  Written: if little is left, the documents aren't dealt.
+    left = rows.filter("size(rest) > 0").select("other", "text_hash", "rest").dropDuplicates(["other", "text_hash"]).select("other", "text_hash", F.explode("rest").alias("r"))
+    sums = left.select("other", "text_hash", "r.gram", F.col("r.c").alias("times")).join(scores.select(F.col("grp").alias("other"), "gram", "logp"), ["other", "gram"]).groupBy(
+        "other", "text_hash").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("more"))
+    loss = F.when(F.col("n_bytes") > 0, -(F.col("known") + F.coalesce("more", F.lit(0.0))) / F.col("n_bytes"))
+    return rows.drop("rest").join(written(sums, "sums"), ["other", "text_hash"], "left").select("doc_id", "text_hash", "language", *BASE, "n_bytes", loss.alias("loss"))
 
 
 def bands(rows: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -173,9 +214,9 @@ def bands(rows: DataFrame, width: float = WIDTH) -> DataFrame:
     return quartiles.select(F.col("language").alias("of"), ((F.col("q")[0] - apart) / STEPS).alias("lower"), ((F.col("q")[1] + apart) / STEPS).alias("upper"))
 
 
-def judge_quality(docs: DataFrame, width: float = WIDTH, short: float = SHORT, share: float = SHARE) -> DataFrame:
+def judge_quality(docs: DataFrame, width: float = WIDTH, short: float = SHORT, held: int = HELD) -> DataFrame:
     """One row a document: doc_id, the base measures, base_failed, kept, loss, lower, upper, text_hash."""
-    rows = written(measured(docs, language_models(docs, share)), "measured")
+    rows = written(measured(docs, held), "measured")
     room = F.lit(short) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     inside = F.coalesce(F.round(F.col("loss"), 3).between(F.col("lower") - room, F.col("upper") + room), F.lit(True))

@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from listmill.llm import decontam, fixity, line_runs, mixing, near_dup, pii, quality, scoring, token_files, url_rules
+from listmill.llm import decontam, fixity, line_runs, mixing, near_dup, ngrams, pii, quality, scoring, token_files, url_rules
 from listmill.llm.components import components
 from listmill.llm.queries import URL_RULES, WEIGHTS, tokenizer_file
 from listmill.llm.shared import NO_ID
@@ -95,6 +95,25 @@ def test_copies_do_not_set_the_band(crowd):
     assert {r for i, r in got.items() if i >= 1000} == {want[0]}
 
 
+def test_losses_are_of_the_whole_models(spark):
+    """Also where a half has many more counts than n-grams that tasks hold; the others meet theirs in a join."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 101, 3000, dtype=np.uint8)).decode() + "".join(chr(c) for c in rng.integers(33, 120, 20)) for _ in range(120)]
+    texts += texts[:30]
+    df = spark.createDataFrame([(i, t, "en" if i % 30 else None) for i, t in enumerate(texts)] + [(None, None, "en"), (999, "", "en")], "doc_id long, text string, lang string")
+    models = ngrams.load_models(ngrams.kneser_ney(quality.language_counts(df), 5, 8, 256, share=0.0), 5, 8, 256)
+    half = {r.text: r.half for r in df.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()}
+    for held in (0, 700, quality.HELD):
+        rows = quality.measured(df, held).collect()
+        assert len(rows) == len(texts) + 2 and all(r.loss is None for r in rows if r.doc_id in (None, 999))
+        for r in rows:
+            if r.loss is not None:
+                data = np.frombuffer(texts[r.doc_id].encode(), np.uint8)
+                model = models.get(f"{1 - half[texts[r.doc_id]]}:{r.language}", ngrams.even_model(5, 8, 256))
+                want = -model.log_probabilities(ngrams.pack(data, np.array([0, len(data)]), 5, 8)).mean()
+                assert r.loss == pytest.approx(want, abs=1e-5)
+
+
 def test_kept_documents_have_all_columns(docs, none):
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns
